@@ -1,9 +1,14 @@
 """The queries of this subpackage."""
 
-from stripchart.llm import sharding
+from stripchart.llm import bpe, media, sharding, warc
 
 QUERIES = {
+    "op3_content_addressed": warc.op3_content_addressed,
     "op4_virtual_slots": sharding.op4_virtual_slots,
+    "op5_png_cosine": media.op5_png_cosine,
+    "op8_backtracking_bpe": bpe.op8_backtracking_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_content_addressed": warc.OP3_SQL,
+}
