@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from stripchart.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,7 +46,13 @@ def over_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch |
             if batch.num_rows:
                 yield fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return over_partitions(df, run, schema)
+
+
+def over_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Apply fn to the Arrow batches of each partition of df."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def slices(texts: list, chars: int = 4_000_000) -> Iterator[slice]:
