@@ -1,13 +1,15 @@
 """The queries of this subpackage."""
 
-from stripchart.llm import bpe, idfile, media, packing, secrets, sharding, simhash, warc
+from stripchart.llm import ann, bpe, idfile, langid, media, packing, secrets, sharding, simhash, warc
 
 QUERIES = {
+    "op1_mixture": langid.op1_mixture,
     "op2_trie_join": simhash.op2_trie_join,
     "op3_content_addressed": warc.op3_content_addressed,
     "op4_virtual_slots": sharding.op4_virtual_slots,
     "op5_png_cosine": media.op5_png_cosine,
     "op6_ownership": secrets.op6_ownership,
+    "op7_multi_index": ann.op7_multi_index,
     "op8_backtracking_bpe": bpe.op8_backtracking_bpe,
     "op9_ranked_bytes": idfile.op9_ranked_bytes,
     "op10_sum_of_squares": packing.op10_sum_of_squares,

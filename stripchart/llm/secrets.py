@@ -127,8 +127,9 @@ def scan(docs: DataFrame, text: str = "text", source: str = "source") -> DataFra
     )
 
 
-def redacted(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """docs, all its columns and rows, with live-looking values in `text` replaced by a mark.
+def redacted(docs: DataFrame, text: str = "text", source: str = "source", length: str = "n_chars") -> DataFrame:
+    """docs, all its columns and rows, with live-looking values in `text` replaced by a mark and
+    the column `length`, if there is one, brought up to date in those rows.
     Shared examples stay. Only documents that contain what a base match needs are shuffled; they
     are matched by a digest of their text, so copies share one entry."""
     key = F.sha2(F.col(text), 256)
@@ -149,6 +150,8 @@ def redacted(docs: DataFrame, text: str = "text", source: str = "source") -> Dat
               concat(a, array(s))))"""
     )
     marked = joined.withColumn("_marks", merged).withColumn(text, F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.expr(cut)))
+    if length in docs.columns:
+        marked = marked.withColumn(length, F.when(F.col("_marks").isNull(), F.col(length)).otherwise(F.char_length(text)).cast(docs.schema[length].dataType))
     return docs.where(~hint | hint.isNull()).unionByName(marked.select(*docs.columns))
 
 

@@ -46,7 +46,8 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp (the bits as a signed long) of each whole text; a null text is an empty one."""
+    """key and fp (the bits as a signed long) of each whole text; a null text is an empty one.
+    The key may be a struct."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
@@ -203,5 +204,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     return found.join(components, "fp").select(F.col("key").alias(key), hexed.alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs, all its columns, with one row of each group of near duplicates: the one with the
+    smallest key; of rows that repeat it any one, and one with a null key only where the group
+    has no other. Rows are numbered in a stored copy, so any may repeat."""
+    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    # structs compare field by field: nulls last, then the key, then the number
+    named = numbered.select(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("__row").alias("row")).alias("id"), F.col(text).alias("text"))
+    chosen = near_duplicates(named, "id", "text").where("id = component_id").select(F.col("id.row").alias("__row"))
+    return numbered.join(chosen, "__row", "left_semi").select(*docs.columns)
+
+
 def op2_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
