@@ -1,11 +1,13 @@
-"""Registry of the queries over the driver's tables, with their SQL for DuckDB."""
+"""All queries over the driver's tables, with their SQL for DuckDB."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from stripchart.queries import traces  # noqa: F401  (registers)
+from stripchart.queries.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
