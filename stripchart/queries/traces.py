@@ -259,15 +259,15 @@ def q_hl7_digits(spark, sf_dir):
     return made.crossJoin(F.broadcast(longest)).select("user_id", codec.hl7_digits("s", "longest").alias("digits"))
 
 
-@query(f"""{SAMPLES_SQL}, g as (select user_id, cast(unnest(range(cast(floor(min(t)) as bigint), cast(floor(max(t)) as bigint) + 1, 43200)) as double) as at from samples group by user_id),
-j as (select g.user_id, g.at, lo.t as t0, lo.v as v0 from g asof left join samples lo on g.user_id = lo.user_id and g.at >= lo.t),
-k as (select j.*, hi.t as t1, hi.v as v1 from j asof left join samples hi on j.user_id = hi.user_id and j.at <= hi.t)
-select user_id, at, round(v0 + (v1 - v0) * case when t1 = t0 then 0 else (at - t0) / (t1 - t0) end, 4) as v from k""")
+@query(f"""{SAMPLES_SQL}, g as (select user_id, cast(unnest(range(cast(floor(min(t)) as bigint), cast(floor(max(t)) as bigint) + 1, 43200)) as double) as at_s from samples group by user_id),
+j as (select g.user_id, g.at_s, lo.t as t0, lo.v as v0 from g asof left join samples lo on g.user_id = lo.user_id and g.at_s >= lo.t),
+k as (select j.*, hi.t as t1, hi.v as v1 from j asof left join samples hi on j.user_id = hi.user_id and j.at_s <= hi.t)
+select user_id, at_s, round(v0 + (v1 - v0) * case when t1 = t0 then 0 else (at_s - t0) / (t1 - t0) end, 4) as v from k""")
 def q_asof_interp(spark, sf_dir):
     """Traces at even times, between the samples around each."""
     rows = samples(spark, sf_dir)
-    grid = rows.groupBy("user_id").agg(F.floor(F.min("t")).alias("lo"), F.floor(F.max("t")).alias("hi")).select("user_id", F.explode(F.expr("transform(sequence(lo, hi, 43200), x -> cast(x as double))")).alias("at"))
-    return rounded(match.bracketed(rows, grid, KEY, "t", "v", "at"), "v", digits=4)
+    grid = rows.groupBy("user_id").agg(F.floor(F.min("t")).alias("lo"), F.floor(F.max("t")).alias("hi")).select("user_id", F.explode(F.expr("transform(sequence(lo, hi, 43200), x -> cast(x as double))")).alias("at_s"))
+    return rounded(match.bracketed(rows, grid, KEY, "t", "v", "at_s"), "v", digits=4)
 
 
 @query(f"""{SAMPLES_SQL} select event_id, round(case event_id % 4 when 1 then 600 - v when 2 then 800 - event_id % 100 when 3 then v else event_id % 100 end, 6) as x,
