@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -18,8 +19,10 @@ LONG = 64
 #: Between two characters that no Unicode rule counts as white space, a blank ends a piece.
 _CUT = regex.compile(r"(?<=\S) (?=\S)")
 
-#: A control character that no piece is joined with.
-MARK = "\x01"
+#: Marks that follow words, and that both kinds of tokenizer split from them.
+MARKS = ",.;:"
+#: Stands between pieces that are encoded together; pieces that hold it are encoded alone.
+MARK = "|"
 
 Encoder = Callable[[list[str]], list[bytes]]
 
@@ -47,6 +50,8 @@ class PieceCache:
         self.first: dict[str, bytes | None] = {}
         self.later: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.long: list[str] = []
+        self.marks = dict(zip(MARKS, encode(list(MARKS))))
 
     def _learn(self, pieces: set[str]) -> None:
         """Add pieces to `later`. When it is full it becomes `older`, from which pieces that are
@@ -55,17 +60,28 @@ class PieceCache:
         if len(self.later) + len(new) > self.limit and self.later:
             self.older, self.later = self.later, {}
             new = pieces
-        todo = []
+        todo, marked = set(), []
         for p in new:
             if p in self.older:
                 self.later[p] = self.older[p]
             elif not p or p[0].isspace() or p[-1].isspace():
                 self.later[p] = None
+            elif p[-1] in MARKS and p[:-1].isalpha() and p[-2].lower().isalpha():
+                # letters and a mark after them are always apart (but for those whose small form
+                # ends in an accent of its own): learn the word alone
+                marked.append(p)
+                if p[:-1] not in self.later:
+                    todo.add(p[:-1])
             else:
-                todo.append(p)
-        for at in range(0, len(todo), 8192):
-            part = todo[at : at + 8192]
+                todo.add(p)
+        words = [p for p in todo if p not in self.older]
+        self.later.update((p, self.older[p]) for p in todo if p in self.older)
+        for at in range(0, len(words), 8192):
+            part = words[at : at + 8192]
             self.later.update(zip(part, self.encode([" " + p for p in part])))
+        for p in marked:
+            self.later[p] = self.later[p[:-1]] + self.marks[p[-1]]
+        self.long = [p for p in new if len(p) > LONG]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [text.split(" ") for text in texts]
@@ -80,7 +96,7 @@ class PieceCache:
                 out.append(self.first[c[0]] + b"".join(map(known, c[1:])))
             except TypeError:
                 out.append(self._exactly(text))
-        for p in [p for c in cut for p in c[1:] if len(p) > LONG]:
+        for p in self.long:
             self.later.pop(p, None)
         return out
 
@@ -95,6 +111,40 @@ def ids_of(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level models write bytes as: printable ones as they are, the
+    others in order from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _word_encoder(model) -> Callable[[str], bytes | None]:
+    """ids of a blank and a word of letters, straight from the model's merges; None for any other
+    piece, and for all where the model does not agree with the whole library on some words."""
+    letters, merges, normal = _byte_letters(), model.model, model.normalizer
+    lowers = normal is not None and normal.normalize_str("aBcXyZ") == "abcxyz"
+
+    def ids(word: str, start: str) -> bytes | None:
+        if not word.isalpha():
+            return None
+        if lowers and word.isascii():
+            word = word.lower()
+        elif normal is not None:
+            word = normal.normalize_str(word)
+            if not word.isalpha():
+                return None
+        if not word.isascii():
+            word = word.encode("utf-8").decode("latin-1").translate(letters)
+        return array("I", [t.id for t in merges.tokenize(start + word)]).tobytes()
+
+    probe = ["a", "word", "Word", "naïve", "Straße", "Žižek", "слово", "字", "ABC", "unquestionably"]
+    for start in (letters[0x20], ""):
+        if all(ids(w, start) == np.array(model.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in probe):
+            return lambda piece: ids(piece[1:], start) if piece[:1] == " " and len(piece) <= LONG else None
+    return lambda piece: None
+
+
 @functools.lru_cache(maxsize=4)
 def tokenizers_cache(name: str) -> PieceCache:
     """For a file of the tokenizers library; special tokens' strings are ordinary text."""
@@ -105,24 +155,33 @@ def tokenizers_cache(name: str) -> PieceCache:
     model.encode_special_tokens = True
     model.no_padding()
     model.no_truncation()
+    if hasattr(model.model, "_resize_cache"):
+        model.model._resize_cache(0)  # pieces come once: keeping them again costs a third of the time
 
     mark = model.encode(" " + MARK, add_special_tokens=False).ids
     alone = lambda pieces: [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(pieces, add_special_tokens=False)]
+    word = _word_encoder(model)
 
     def encode(pieces: list[str]) -> list[bytes]:
-        """Many short pieces go through the library as one text, with a mark between them that
-        it always keeps apart; pieces in which the mark or odd white space stands go alone."""
-        apart = [len(p) > LONG or MARK in p or not p.startswith(" ") or p[1:2].isspace() or p[-1].isspace() for p in pieces]
-        joined = [p for p, x in zip(pieces, apart) if not x]
-        found = iter(alone([p for p, x in zip(pieces, apart) if x]))
-        if not joined:
-            return list(found)
-        ids = np.array(model.encode_batch_fast([(" " + MARK).join(joined)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == mark[-1]) - len(mark) + 1
-        if len(ends) != len(joined) - 1:  # not seen; the plain way is always right
-            return alone(pieces)
-        data, starts, ends = ids.tobytes(), [0, *(4 * (ends + len(mark))).tolist()], [*(4 * ends).tolist(), 4 * len(ids)]
-        between = (data[a:b] for a, b in zip(starts, ends))
-        return [next(found) if x else next(between) for x in apart]
+        """Words go to the model directly. Other short pieces go through the whole library as one
+        text, with a mark between them that it always keeps apart; those in which the mark or
+        odd white space stands go alone."""
+        out: list[bytes | None] = [word(p) for p in pieces]
+        rest = [i for i, data in enumerate(out) if data is None]
+        apart = [i for i in rest if len(p := pieces[i]) > LONG or MARK in p or p[:1] != " " or p[1:2].isspace() or p[-1].isspace()]
+        for i, data in zip(apart, alone([pieces[i] for i in apart])):
+            out[i] = data
+        joined = [i for i in rest if out[i] is None]
+        if joined:
+            ids = np.array(model.encode_batch_fast([(" " + MARK).join(pieces[i] for i in joined)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == mark[-1]) - len(mark) + 1
+            if len(ends) == len(joined) - 1:
+                data, starts, ends = ids.tobytes(), [0, *(4 * (ends + len(mark))).tolist()], [*(4 * ends).tolist(), 4 * len(ids)]
+                between = [data[a:b] for a, b in zip(starts, ends)]
+            else:  # not seen; the plain way is always right
+                between = alone([pieces[i] for i in joined])
+            for i, data in zip(joined, between):
+                out[i] = data
+        return out
 
     return PieceCache(encode)
