@@ -1,4 +1,4 @@
-"""What a session needs before its workers run this package's functions."""
+"""What a session needs before its workers run this package's functions, and where plans are cut."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,13 @@ def ship(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(root.parent))
     context.addPyFile(str(target))
     context._stripchart_shipped = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder that executors share: later steps read
+    it from there instead of planning and running what made it again."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="stripchart-"))
+    return df.checkpoint()
