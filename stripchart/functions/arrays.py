@@ -12,7 +12,7 @@ def in_order(position: str, value: str) -> Column:
 
 
 def _cyclic(samples: str, length: str) -> str:
-    return f"(case when {length} <= size({samples}) then slice({samples}, 1, {length}) else transform(sequence(0, {length} - 1), i -> {samples}[i % size({samples})]) end)"
+    return f"(case when {length} <= size({samples}) then slice({samples}, 1, {length}) else transform(sequence(0, {length} - 1), i_ -> {samples}[i_ % size({samples})]) end)"
 
 
 def cyclic(samples: str, length: str) -> Column:
@@ -38,7 +38,7 @@ def repeated_to(samples: str, duration: str, target: float = 10.0) -> Column:
 
 def even_grid(start: str, stop: str, n: str) -> Column:
     """n evenly spaced numbers from start to stop, both included."""
-    return F.expr(f"case when {n} <= 0 then array() when {n} = 1 then array(cast({start} as double)) else transform(sequence(0, cast({n} as int) - 1), i -> {start} + ({stop} - ({start})) * i / ({n} - 1)) end")
+    return F.expr(f"case when {n} <= 0 then array() when {n} = 1 then array(cast({start} as double)) else transform(sequence(0, cast({n} as int) - 1), i_ -> {start} + ({stop} - ({start})) * i_ / ({n} - 1)) end")
 
 
 def derived(first: str, second: str, name: str) -> Column:
@@ -50,15 +50,15 @@ def derived(first: str, second: str, name: str) -> Column:
 def median_centred(samples: str) -> Column:
     """Samples minus their median (the mean of the middle two where they are even in number)."""
     middle = f"(array_sort({samples})[cast((size({samples}) - 1) div 2 as int)] + array_sort({samples})[cast(size({samples}) div 2 as int)]) / 2"
-    return F.expr(f"transform({samples}, x -> x - {middle})")
+    return F.expr(f"transform({samples}, x_ -> x_ - {middle})")
 
 
 def interpolated(times: str, values: str, grid: str) -> Column:
     """Linear interpolation of (times, values) at the points of grid; times ascend. Outside their
     range the first or last segment is extended; two equal times give the earlier value."""
-    # number of times before each grid point, by one merge of the two sorted arrays
+    # the lambdas' names end in _, so that they do not hide columns
     return F.expr(
-        f"""transform({grid}, t -> aggregate(
-            array(greatest(0, least(size({times}) - 2, size(filter({times}, x -> x < t)) - 1))), cast(null as double),
-            (a, i) -> {values}[i] + ({values}[i + 1] - {values}[i]) * if({times}[i + 1] = {times}[i], 0D, (t - {times}[i]) / ({times}[i + 1] - {times}[i]))))"""
+        f"""transform({grid}, t_ -> aggregate(
+            array(greatest(0, least(size({times}) - 2, size(filter({times}, x_ -> x_ < t_)) - 1))), cast(null as double),
+            (a_, i_) -> {values}[i_] + ({values}[i_ + 1] - {values}[i_]) * if({times}[i_ + 1] = {times}[i_], 0D, (t_ - {times}[i_]) / ({times}[i_ + 1] - {times}[i_]))))"""
     )

@@ -13,7 +13,7 @@ MAP_OFFSET, MAP_SCALE, MAP_SCALE_V1 = 200.0, 16.0, 4.0
 
 def adc_counts(samples: str, uv_per_bit: float = UV_PER_BIT) -> Column:
     """Millivolts to signed 16-bit counts: halves up, clamped; a missing sample is 0."""
-    return F.expr(f"transform({samples}, x -> cast(least(32767, greatest(-32768, floor(coalesce(x, 0D) * 1000 / {uv_per_bit}D + 0.5D))) as int))")
+    return F.expr(f"transform({samples}, x_ -> cast(least(32767, greatest(-32768, floor(coalesce(x_, 0D) * 1000 / {uv_per_bit}D + 0.5D))) as int))")
 
 
 def int16_base64(counts: str) -> Column:
@@ -51,4 +51,4 @@ def xml_escaped(text: Column) -> Column:
 
 def hl7_digits(samples: str, length: str) -> Column:
     """Space-joined digits of 5 microvolts, padded with 0 to `length` samples."""
-    return F.expr(f"array_join(transform(sequence(0, {length} - 1), i -> cast(floor(coalesce(get({samples}, i), 0D) * 1000 / {UV_PER_DIGIT}D + 0.5D) as bigint)), ' ')")
+    return F.expr(f"array_join(transform(sequence(0, {length} - 1), i_ -> cast(floor(coalesce(get({samples}, i_), 0D) * 1000 / {UV_PER_DIGIT}D + 0.5D) as bigint)), ' ')")
