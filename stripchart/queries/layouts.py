@@ -220,11 +220,11 @@ def q_line_kind(spark, sf_dir):
     return light.select("l_orderkey", "l_linenumber", geometry.line_kind(20, 15000, 15).alias("kind"))
 
 
-@query("""with p as (select s_suppkey, s_acctbal - 10 as lo, s_acctbal + s_suppkey % 30 as hi from supplier) select s_suppkey, case when s_suppkey % 2 = 0 then hi else lo end as baseline from p where abs((hi - lo) - 25) < 25 * 0.15""")
+@query("""with p as (select c_custkey, c_acctbal - 10 as lo, c_acctbal + c_custkey % 30 as hi from customer) select c_custkey, case when c_custkey % 2 = 0 then hi else lo end as baseline from p where abs((hi - lo) - 25) < 25 * 0.15""")
 def q_calibration_pulses(spark, sf_dir):
     """Strokes one millivolt high, and the line they start from."""
-    p = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 10).alias("lo"), (F.col("s_acctbal") + F.col("s_suppkey") % 30).alias("hi")).withColumn("h", F.col("hi") - F.col("lo"))
-    return geometry.calibration_pulses(p, "h", F.lit(25.0), 0.15, F.col("s_suppkey") % 2 == 0, "lo", "hi").select("s_suppkey", "baseline")
+    p = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") - 10).alias("lo"), (F.col("c_acctbal") + F.col("c_custkey") % 30).alias("hi")).withColumn("h", F.col("hi") - F.col("lo"))
+    return geometry.calibration_pulses(p, "h", F.lit(25.0), 0.15, F.col("c_custkey") % 2 == 0, "lo", "hi").select("c_custkey", "baseline")
 
 
 @query("""select p_partkey, round(case when greatest(r, g, b) > 1 then r / 255.0 else r end, 6) as r, round(case when greatest(r, g, b) > 1 then g / 255.0 else g end, 6) as g, greatest(case when greatest(r, g, b) > 1 then r / 255.0 else r end, case when greatest(r, g, b) > 1 then g / 255.0 else g end, case when greatest(r, g, b) > 1 then b / 255.0 else b end) < 0.15 as dark
