@@ -49,10 +49,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
 
 
 def looks_random(value: str) -> bool:
-    """Letters and digits both, with the entropy of a generated string."""
+    """The entropy of a generated string."""
     n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return bits >= RANDOM_BITS and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= RANDOM_BITS
+
+
+def credible(kind: int, value: str) -> bool:
+    """Whether a match of the kind can be a credential: an access key is one by its form, an
+    assigned value if it looks random, a hex run if it has letters and digits too."""
+    return KINDS[kind] == "access" or looks_random(value) and (KINDS[kind] == "assign" or any(c.isdigit() for c in value) and any(c.isalpha() for c in value))
 
 
 SPAN = "array<struct<start:int,kind:int,end:int,vstart:int,vend:int,hash:string,random:boolean>>"
@@ -67,7 +72,7 @@ def candidates(docs: DataFrame, keys: list[str], text: str = "text") -> DataFram
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for t in batch.column(len(keys)).to_pylist():
-            rows.append([(s, k, e, a, b, hashlib.sha256((v := t[a:b]).encode("utf-8", "surrogatepass")).hexdigest(), looks_random(v)) for s, k, e, a, b in base_spans(t or "")])
+            rows.append([(s, k, e, a, b, hashlib.sha256((v := t[a:b]).encode("utf-8", "surrogatepass")).hexdigest(), credible(k, v)) for s, k, e, a, b in base_spans(t or "")])
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array([[dict(zip(("start", "kind", "end", "vstart", "vend", "hash", "random"), x)) for x in r] for r in rows], span)], names=[*keys, "spans"])
 
     return over_batches(source, run, ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys) + f", spans {SPAN}")
@@ -80,7 +85,7 @@ def ownership(found: DataFrame, repository: Column, owner: Column) -> DataFrame:
     triples = found.select(repository.alias("r"), owner.alias("o"), F.explode("spans").alias("s")).select(
         F.col("s.hash").alias("hash"), F.col("s.random").alias("random"), F.coalesce("r", F.lit("")).alias("r"), F.coalesce("o", F.lit("")).alias("o")
     )
-    counted = triples.distinct().groupBy("hash").agg(F.first("random").alias("random"), F.countDistinct("r").alias("repositories"), F.countDistinct("o").alias("owners"))
+    counted = triples.distinct().groupBy("hash").agg(F.max("random").alias("random"), F.countDistinct("r").alias("repositories"), F.countDistinct("o").alias("owners"))
     shared = (F.col("owners") >= SHARED_OWNERS) | (F.col("repositories") >= SHARED_REPOSITORIES)
     return counted.select("hash", "repositories", "owners", F.when(shared, "example").when(F.col("random"), "live").alias("verdict"))
 
