@@ -45,11 +45,13 @@ class Codes:
     """Learned rotations: the mean is taken off, and each rotation of the vectors is fitted so
     that its signs lose little (alternating between signs and the best rotation onto them).
     Where lengths differ a component is added that makes them equal, so that the nearest by
-    angle are those with the largest inner product; queries have 0 there."""
+    angle are those with the largest inner product; queries have 0 there. `lengths` are the
+    shortest and the longest of all rows that will be coded, the sample's where it is all."""
 
-    def __init__(self, sample: np.ndarray, bits: int = BITS, seed: int = 7):
-        lengths = np.linalg.norm(sample, axis=1)
-        self.longest = float(lengths.max() * 1.05) if lengths.max() - lengths.min() > 1e-3 * lengths.max() else 0.0
+    def __init__(self, sample: np.ndarray, bits: int = BITS, seed: int = 7, lengths: tuple[float, float] | None = None):
+        norms = np.linalg.norm(sample, axis=1)
+        shortest, longest = (norms.min(), norms.max()) if lengths is None else lengths
+        self.longest = float(longest * 1.05) if longest - shortest > 1e-3 * longest else 0.0
         x = self._extended(sample, False)
         self.mean = x.mean(axis=0)
         x = x - self.mean
@@ -154,7 +156,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     learned = _matrix(sample["v"], sample.num_rows)
-    codes = Codes(learned)
+    length = F.sqrt(F.expr("aggregate(v, 0d, (s, x) -> s + x * x)"))
+    codes = Codes(learned, lengths=tuple(rows.agg(F.min(length), F.max(length)).first()))
     codes.learn_radius(learned, k)
     shared = spark.sparkContext.broadcast(codes)
     index_blocks = -(-rows.count() // block_rows)

@@ -1,6 +1,10 @@
 """Rows that a sample, a cap or a shape test once left out."""
 
-from stripchart.llm import secrets
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stripchart.llm import ann, secrets
 
 
 # 6 ---------------------------------------------------------------------------------------------
@@ -16,3 +20,31 @@ def test_letters_alone_can_be_live(spark):
     assert clean == {1: "key [secret] end", 2: "password = [secret]", 3: rows[2][1], 4: rows[3][1]}
     spans = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
     assert "live:" in spans[1] and "live:" in spans[2] and "live:" not in spans[3] + spans[4]
+
+
+# 7 ---------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("uneven", [False, True])
+def test_rare_long_vectors(spark, monkeypatch, uneven):
+    """Long rows outside the sample, with the sample's lengths equal or not."""
+    monkeypatch.setattr(ann, "LEARNED", 400)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if uneven:
+        x *= rng.uniform(0.9, 1.1, size=(len(x), 1))
+    ids = spark.range(len(x)).orderBy(F.xxhash64("id"), "id").select("id").toPandas()["id"].to_numpy()
+    long = ids[1000:1040]
+    x[long] *= np.tile([2, 4, 10, 4], 10)[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found: dict[int, set] = {}
+    for r in ann.nearest(table).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = wanted = hits_long = wanted_long = 0
+    for q, near in found.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        true = set(np.argsort(-score, kind="stable")[:20].tolist())
+        hits, wanted = hits + len(near & true), wanted + len(true)
+        hits_long, wanted_long = hits_long + len(near & true & set(long.tolist())), wanted_long + len(true & set(long.tolist()))
+    print("recall", hits / wanted, "of long rows", hits_long / wanted_long, wanted_long)
+    assert wanted_long > 1000 and hits_long >= 0.97 * wanted_long and hits >= 0.95 * wanted
