@@ -20,8 +20,11 @@ BUCKETS = 1 << 16
 #: About so many labelled documents of a language are learned from; the sample is by a hash of
 #: the id, so it is the same in every run.
 LEARNED = 2000
-#: Labels learned: the most frequent ones.
-LANGUAGES = 64
+#: Every label is learned. The table takes 0.5 MB for each, in the driver and in each worker; with
+#: more labels than this (256 MB) learning fails rather than leave any out.
+LANGUAGES = 512
+#: Labels a task holds counts of at once.
+HELD = 64
 SMOOTHING = 0.5
 ROUNDS, TOLERANCE = 12, 1e-3
 #: Trigrams overlap and words repeat: a further language must gain so many times the log of the
@@ -113,9 +116,11 @@ def held_out(key: str = "doc_id") -> Column:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages in alphabetical order, log likelihoods of shape buckets x languages) from the
     rows of labelled whose lang is not null. Counting is done in the tasks; the driver gets as
-    many numbers as there are buckets and languages at most."""
+    many numbers as there are buckets and languages at most. ValueError for more than LANGUAGES."""
     rows = labelled.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels: the table of their trigrams would exceed its memory bound")
     names = sorted(r["lang"] for r in sizes)
     if not names:
         return [], np.zeros((BUCKETS, 0))
@@ -123,20 +128,30 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     part = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.where(part < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("lang", "text")
 
+    place = {n: i for i, n in enumerate(names)}
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            while totals:
+                name, total = totals.popitem()
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), place[name], np.int32)), pa.array(used), pa.array(total[used])], names=["lang", "bucket", "n"])
+
         for batch in batches:
             for name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if name not in totals and len(totals) >= HELD:
+                    yield from flushed()
                 buckets, counts = trigram_counts(value or "")
                 totals.setdefault(name, np.zeros(BUCKETS, np.int64))[buckets] += counts
-        for name, total in totals.items():
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used), pa.array(total[used])], names=["lang", "bucket", "n"])
+        yield from flushed()
 
     table_of = np.full((BUCKETS, len(names)), SMOOTHING)
-    counted = over_partitions(sample, count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    np.add.at(table_of, (counted["bucket"].to_numpy(np.int64), counted["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(np.int64)), counted["n"].to_numpy(np.float64))
-    return names, np.log(table_of / table_of.sum(axis=0))
+    counted = over_partitions(sample, count, "lang int, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    np.add.at(table_of, (counted["bucket"].to_numpy(), counted["lang"].to_numpy()), counted["n"].to_numpy().astype(np.float64))
+    table_of /= table_of.sum(axis=0)
+    return names, np.log(table_of, out=table_of)
 
 
 def predicted(docs: DataFrame, names: list[str], table_of: np.ndarray, text: str = "text", keep: list[str] | None = None, made: tuple[str, str, str] = MADE) -> DataFrame:

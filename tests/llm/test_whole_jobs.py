@@ -4,7 +4,21 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stripchart.llm import ann, secrets
+from stripchart.llm import ann, langid, secrets
+
+
+# 1 ---------------------------------------------------------------------------------------------
+def test_all_labels_are_learned(spark, monkeypatch):
+    word = lambda k: "".join(chr(0x4E00 + 20 * k + i) for i in range(20))
+    labelled = spark.createDataFrame([(8 * k + i, f"{word(k)} " * 4, f"l{k:02d}") for k in range(70) for i in range(1 + (k < 64) * 5)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "HELD", 3)
+    names, table_of = langid.learn(labelled)
+    assert len(names) == 70 and table_of.shape == (langid.BUCKETS, 70)
+    found = langid.predicted(labelled, names, table_of).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["languages"].startswith(r["lang"]) for r in found)
+    monkeypatch.setattr(langid, "LANGUAGES", 69)
+    with pytest.raises(ValueError, match="more than 69 labels"):
+        langid.learn(labelled)
 
 
 # 6 ---------------------------------------------------------------------------------------------
