@@ -184,6 +184,16 @@ def predicted(docs: DataFrame, names: list[str], table_of: np.ndarray, text: str
     return found.select(*(F.col(n).alias(k) for n, k in zip(names_out, keep)), *(F.col(c).alias(m) for c, m in zip(MADE, made)))
 
 
+def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter."""
+    at = docs.columns.index(text)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([any(map(str.isalpha, t or "")) for t in batch.column(at).to_pylist()]))
+
+    return over_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def identified(docs: DataFrame, keep: list[str] | None = None, made: tuple[str, str, str] = MADE) -> DataFrame:
     """Learn from the documents that are not held out, predict all of them."""
     names, table_of = learn(docs.where(~held_out()))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stripchart.llm import ann, langid, secrets
 
 
@@ -21,6 +22,13 @@ def test_all_labels_are_learned(spark, monkeypatch):
         langid.learn(labelled)
 
 
+def test_language_stage_without_labels(spark, docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, bare, "")
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["0", "1", "5", "6", "7", "8", "9", "6", "None"])
+
+
 # 6 ---------------------------------------------------------------------------------------------
 def test_letters_alone_can_be_live(spark):
     rows = [
