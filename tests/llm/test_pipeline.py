@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stripchart.llm import overlap
+from stripchart.llm import overlap, packing
 
 
 def plain_runs(text):
@@ -71,3 +71,44 @@ def test_near_copies_odd_rows(spark, docs, empty):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 5, 6, 7, 8, 9, 10]
     assert overlap.one_of_each(empty).count() == 0
     assert overlap.one_of_each(docs.withColumn("doc_id", F.lit(None).cast("long"))).count() == 8
+
+
+def test_every_stage_and_run(spark, tmp_path):
+    """Each stage on what the stage before it left, then run() as a whole, and both when empty."""
+    en, fr = "the cat and the dog of the house with that door", "le chat et le chien de la maison avec des portes"
+    rows = [(i, f"{en if i % 2 else fr} " * 3 + f"x{i} y{i} z{i}", "en" if i % 2 else "fr", f"src{i}", 9) for i in range(40)]
+    rows += [(100, rows[3][1], "en", "src0", 9), (101, rows[5][1] + " more", "en", "src1", 9)]
+    rows += [(102, None, None, None, None), (103, "12 !", "en", "src2", 4), (104, "", None, None, 0)]
+    rows += [(105, 'set password = "q1w2e3r4t5y6" before the house of the dog', "en", "src3", 9), (106, None, "en", "src3", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/full/documents.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+
+    def pairs(frame):
+        return sorted((r["doc_id"], r["text"]) for r in frame.collect())
+
+    lettered = sorted((i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language"](spark, docs, "")
+    assert pairs(first) == lettered
+    second = stages["near_duplicates"](spark, first, "")
+    kept = plain_kept(lettered)
+    assert pairs(second) == [x for x in lettered if x[0] in kept] and 100 not in kept and 101 not in kept
+    third = stages["secret_scan"](spark, second, "")
+    clean = [(i, t.replace("q1w2e3r4t5y6", "[secret]")) for i, t in lettered if i in kept]
+    assert pairs(third) == clean
+    for found in (stages["pack"](spark, third, ""), corpus_pipeline.run(spark, f"{tmp_path}/full")):
+        packed = found.collect()
+        assert sorted(r["doc_id"] for r in packed) == kept and all(r["piece"] == 0 for r in packed)
+        places: dict[int, list] = {}
+        for r in packed:
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for place in places.values():
+            at = 0
+            for offset, length in sorted(place):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        crcs = {r["doc_id"]: r["ids_crc32"] for r in packed}
+        assert crcs == {r["doc_id"]: r["ids_crc32"] for r in packing.pieces_of(spark.createDataFrame(clean, "doc_id long, text string")).collect()}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
