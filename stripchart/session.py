@@ -24,11 +24,23 @@ def ship(spark: SparkSession) -> None:
     context._stripchart_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or the context's
+    checkpoint folder. Where neither is set, a local session gets a temporary folder, and on a
+    cluster it is an error, as no folder of one machine would do."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="stripchart-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the checkpoint folder that executors share: later steps read
     it from there instead of planning and running what made it again."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="stripchart-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
