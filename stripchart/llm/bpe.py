@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from stripchart.llm.common import over_batches, slices, table
+from stripchart.llm.common import over_batches, table, text_slices
 from stripchart.llm.tokens import PieceCache, file_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -169,8 +169,7 @@ def encoded(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, key
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, cache = worker_bpe(ranks, pattern)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        ids = [np.frombuffer(x, "<i4") for part in slices(texts) for x in cache(texts[part])]
+        ids = [np.frombuffer(x, "<i4") for texts in text_slices(batch.column(1)) for x in cache(texts)]
         offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype("<i4")
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, np.concatenate(ids))], names=["key", "ids"])
 
@@ -179,15 +178,15 @@ def encoded(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, key
 
 def round_trips(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 (of the decimal ids, comma-joined) and decoded_sha256 (of the
-    bytes the ids decode to); nothing but these leaves the task."""
+    bytes the ids decode to); nothing but these leaves the task. A null text is an empty one; no
+    rows give no rows."""
     pattern = pattern or default_pattern()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe, cache = worker_bpe(ranks, pattern)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         rows: list[tuple[int, str, str]] = []
-        for part in slices(texts):
-            for data in cache(texts[part]):
+        for texts in text_slices(batch.column(1)):
+            for data in cache(texts):
                 ids = np.frombuffer(data, "<u4").tolist()
                 rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
         n, digest, decoded = zip(*rows)
@@ -197,4 +196,7 @@ def round_trips(docs: DataFrame, ranks: str = RANKS, pattern: str | None = None,
 
 
 def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes of every document. A null
+    text is an empty one, with no ids; repeated rows and null ids stay; no rows give no rows;
+    other columns are not looked at."""
     return round_trips(table(spark, sf_dir, "documents"))

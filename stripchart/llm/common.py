@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from stripchart.session import ship
+from stripchart.session import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; where the session names none (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stripchart-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/stripchart/{name}-{uuid.uuid4().hex}"
 
@@ -66,3 +58,14 @@ def slices(texts: list, chars: int = 4_000_000) -> Iterator[slice]:
             start, total = i + 1, 0
     if start < len(texts):
         yield slice(start, len(texts))
+
+
+def text_slices(texts: pa.Array, size: int = 4_000_000) -> Iterator[pa.Array]:
+    """The same for a column of texts, by bytes; null texts become empty ones."""
+    texts = texts.fill_null("")
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        stop = int(np.searchsorted(total, (total[start - 1] if start else 0) + size)) + 1
+        yield texts.slice(start, stop - start)
+        start = stop

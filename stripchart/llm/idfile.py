@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stripchart.llm.common import new_path, over_batches, over_partitions, slices, stored, table
+from stripchart.llm.common import new_path, over_batches, over_partitions, stored, table, text_slices
 from stripchart.llm.tokens import ids_of, tokenizers_cache
 
 MODEL = "word_bpe_49k.json"
@@ -58,10 +58,9 @@ def tokenised(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache = tokenizers_cache(model)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         out = []
-        for part in slices(texts):
-            for data in cache(texts[part]):
+        for texts in text_slices(batch.column(1)):
+            for data in cache(texts):
                 ids = np.append(ids_of(data), np.uint32(end_id))
                 out.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\xff" + ids.tobytes())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["key", "ids"])
@@ -94,7 +93,8 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
 
 def write_files(tokens: DataFrame, path: str, key: str = "doc_id", parts: int | None = None) -> str:
     """Write key, ids in ascending order of key as a file set. Rows with the same key are
-    ordered by their ids' checksum, so that any run writes the same; a null key comes first."""
+    ordered by their ids' checksum, so that any run writes the same; a null key comes first. No
+    rows give empty tables."""
     spark = tokens.sparkSession
     frequency_ranks(tokens).write.parquet(f"{path}/ranks")
     table_of_ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").toPandas()["id"].to_numpy()
@@ -124,8 +124,10 @@ def write_files(tokens: DataFrame, path: str, key: str = "doc_id", parts: int |
         if keys:
             yield block()
 
-    order = tokens.select(F.col(key).cast("long").alias("key"), "ids", F.crc32("ids").alias("tie"))
-    dealt = order.repartitionByRange(parts, "key", "tie") if parts else order.repartitionByRange("key", "tie")
+    # the place in the table tells repeated rows apart, so that many of them take several parts
+    order = tokens.select(F.col(key).cast("long").alias("key"), "ids", F.crc32("ids").alias("tie"), F.monotonically_increasing_id().alias("place"))
+    by = ("key", "tie", "place")
+    dealt = order.repartitionByRange(parts, *by) if parts else order.repartitionByRange(*by)
     blocks = over_partitions(dealt.sortWithinPartitions("key", "tie").select("key", "ids"), run, "block long, keys array<long>, lengths array<long>, control binary, data binary")
     blocks.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/blocks")
     return path
@@ -162,6 +164,10 @@ def read_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
 
 
 def op9_ranked_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files its ids were
+    written to. A null or empty text has the end id alone; documents without an id come first,
+    rows that repeat one stand side by side, ordered by a checksum; no rows give empty files and
+    no rows; other columns are not looked at."""
     docs = table(spark, sf_dir, "documents")
     tokens = stored(tokenised(docs), "ids")
     path = write_files(tokens, new_path(spark, "id-files"))

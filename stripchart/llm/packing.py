@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripchart.llm.common import over_batches, over_partitions, slices, stored, table
+from stripchart.llm.common import over_batches, over_partitions, stored, table, text_slices
 from stripchart.llm.tokens import ids_of, tokenizers_cache
 
 MODEL = "byte_bpe_50k.json"
@@ -66,11 +66,10 @@ def pieces_of(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         cache = tokenizers_cache(model)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         at, rows = [], []
         i = 0
-        for part in slices(texts):
-            for data in cache(texts[part]):
+        for texts in text_slices(batch.column(1)):
+            for data in cache(texts):
                 ids = np.append(ids_of(data), np.uint32(end_id)).astype("<u4")
                 n = len(ids)
                 cuts = [0, *range(n - (n - 1) // capacity * capacity, n + 1, capacity)]
@@ -88,7 +87,8 @@ def pieces_of(docs: DataFrame, model: str = MODEL, key: str = "doc_id", text: st
 
 def _pack_round(pieces: DataFrame, parts: int, round_no: int, capacity: int, final: bool) -> DataFrame:
     """pieces dealt evenly to `parts` tasks and packed; sequence_id is null for what is left to
-    the next round."""
+    the next round. Pieces are stored, so their places in the table, which spread equal ones, are
+    the same in every attempt."""
     names = pieces.columns
     schema = pieces.schema
 
@@ -106,15 +106,15 @@ def _pack_round(pieces: DataFrame, parts: int, round_no: int, capacity: int, fin
         rows = rows.append_column("sequence_id", pa.array(bins + base, mask=loose)).append_column("offset", pa.array(offsets, mask=loose))
         yield from rows.combine_chunks().to_batches(max_chunksize=50_000)
 
-    # a hash of what differs between pieces, so that rows with one key are spread as well
-    dealt = pieces.repartition(parts, *(c for c in names if c != "ids"))
+    dealt = pieces.repartition(parts, F.xxhash64(*(c for c in names if c != "ids"), F.monotonically_increasing_id()))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return over_partitions(dealt, run, f"{kinds}, sequence_id long, offset long")
 
 
 def packed(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES) -> DataFrame:
     """Each piece with its sequence_id and offset. Full pieces are sequences of their own and
-    are not shuffled. Rounds are written to the shared folder."""
+    are not shuffled. Rounds are written to the shared folder. Equal pieces are packed each; no
+    pieces give no rows."""
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", F.monotonically_increasing_id() - F.lit(1 << 62)).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.where(F.col("length") < capacity)
     done: list[DataFrame] = [full]
@@ -135,5 +135,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES)
 
 
 def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place there. A null or empty text is
+    one piece of the end id alone; repeated rows and null ids are pieces of their own; no rows
+    give no rows; other columns are not looked at."""
     pieces = stored(pieces_of(table(spark, sf_dir, "documents")), "pieces")
     return packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
