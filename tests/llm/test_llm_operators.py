@@ -1,6 +1,7 @@
 """Each operator against brute force on small rows, odd rows included."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -97,7 +98,7 @@ def test_links_against_all_pairs(spark, leaves):
 
 
 # 3 ---------------------------------------------------------------------------------------------
-def test_archive(spark):
+def test_archive(spark, monkeypatch):
     long, other = "<html>" + "x" * 200, "é" * 90
     rows = [(3, "u3\r\nX: y", long), (1, None, long), (2, "u2", "short"), (5, "u5", "short"), (4, "u4", None), (6, "u6", other), (7, "u7", other), (None, "n", long), (1, "again", long)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("x"))
@@ -107,11 +108,23 @@ def test_archive(spark):
     got = sorted((-1 if r["page_id"] is None else r["page_id"], r["record_type"], r["refers_to"] or 0) for r in found)
     assert got == [(-1, "revisit", 1), (1, "response", 0), (1, "response", 0), (2, "response", 0), (3, "revisit", 1), (4, "response", 0), (5, "response", 0), (6, "response", 0), (7, "revisit", 6)]
     wanted = {p: (h or "").encode() for p, _, h in rows}
-    for r in found:
-        assert bytes(r["payload"]) == wanted[r["page_id"]] and r["payload_digest"] == hashlib.sha256(r["payload"]).hexdigest()
-        head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
-        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert rest == (bytes(r["payload"]) if r["record_type"] == "response" else b"") + b"\r\n\r\n" and len(rest) == size + 4
+    assert all(r["payload_digest"] == hashlib.sha256(wanted[r["page_id"]]).hexdigest() and r["payload_bytes"] == len(wanted[r["page_id"]]) for r in found)
+    types = sorted((str(r["page_id"]), r["record_type"]) for r in found)
+    records = warc.read_records(spark, path).collect()
+    names = {}
+    for r in records:
+        assert bytes(r["payload"]) == wanted[r["page_id"]]
+        fields, block = warc.parsed(bytes(r["record"]))
+        assert block == (bytes(r["payload"]) if fields["WARC-Type"] == "response" else b"")
+        names.setdefault(re.search(rb"WARC-Record-ID: (\S+)", r["record"])[1], []).append(fields["WARC-Type"])
+    assert sorted((str(r["page_id"]), warc.parsed(bytes(r["record"]))[0]["WARC-Type"]) for r in records) == types
+    assert len(names) == len(rows)  # rows that repeat an id have records of their own
+    assert {names[x][0] for r in records for x in re.findall(rb"WARC-Refers-To: (\S+)", r["record"])} == {"response"}
+    with pytest.raises(ValueError):
+        warc.parsed(bytes(records[0]["record"])[:-5] + b"\r\n\r\n")
+    monkeypatch.setattr(warc, "TOGETHER", 1)  # every payload with copies is dealt in parts
+    monkeypatch.setattr(warc, "SHARES", 9)
+    assert sorted(map(tuple, warc.read_archive(spark, path).select("page_id", "record_type", "refers_to").collect()), key=str) == sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in found), key=str)
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     nothing = warc.write_archive(pages.where("false"), common.new_path(spark, "warc"))
     assert warc.read_archive(spark, nothing).count() == 0
@@ -122,20 +135,50 @@ def test_damaged_archive(spark):
     path = warc.write_archive(pages, common.new_path(spark, "warc"))
     bad = spark.createDataFrame([(hashlib.sha256(b"other").hexdigest(), zlib.compress(b"a" * 200))], "digest string, stored binary")
     bad.write.mode("overwrite").parquet(f"{path}/payloads")
+    with pytest.raises(Exception, match="missing"):
+        warc.read_archive(spark, path).collect()
+    kept = spark.createDataFrame([(hashlib.sha256(b"a" * 200).hexdigest(), zlib.compress(b"b" * 200))], "digest string, stored binary")
+    kept.write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="damaged"):
-        warc.verified_payloads(spark, path).collect()
+        warc.read_records(spark, path).collect()
 
 
 # 4 ---------------------------------------------------------------------------------------------
+def check_law(rows, docs_texts):
+    """Sizes and checksums of all texts, gapless places, near-equal bytes: as the law says."""
+    assert sorted((r["size"], r["text_crc32"]) for r in rows) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in docs_texts)
+    load = [0] * 8
+    for shard in range(8):
+        own = [r for r in rows if r["shard"] == shard]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        load[shard] = sum(r["size"] for r in own)
+    assert max(load) - min(load) <= 2 * max((r["size"] for r in rows), default=0)
+
+
 def test_sharding(spark, docs, empty):
-    rows, versions = sharding.shard_documents(docs, slots=64)
+    rows, path = sharding.shard_documents(docs, slots=64)
     found = rows.collect()
-    assert sorted((r["size"], r["text_crc32"]) for r in found) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in texts(docs))
-    for shard in range(8):
-        places = sorted(r["slot"] for r in found if r["shard"] == shard)
-        assert places == list(range(len(places)))
+    check_law(found, [t for _, t in texts(docs)])
     assert sharding.shard_documents(empty)[0].count() == 0
-    assert {r["version"] for r in versions.collect()} == {1, 2}
+    assert {r["version"] for r in sharding.versions_of(spark, path).collect()} == {1, 2}
+
+
+def test_repeated_rows_are_spread(spark):
+    """2,000 copies of one row, 300 of one of null id, and 500 others."""
+    rows = [(7, "copy " * 400)] * 2000 + [(None, "none " * 20)] * 300 + [(i, "x" * (i % 50)) for i in range(100, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    placed, path = sharding.shard_documents(docs)
+    check_law(placed.collect(), [t for _, t in rows])
+    # the stored map is read and edited: with the same sizes nothing moves
+    again, _ = sharding.shard_documents(docs, map_path=path, first=False)
+    check_law(again.collect(), [t for _, t in rows])
+    versions = {}
+    for r in sharding.versions_of(spark, path).collect():
+        versions.setdefault(r["version"], {})[r["slot"]] = r["shard"]
+    assert sorted(versions) == [1, 2, 3] and all(len(v) == sharding.SLOTS for v in versions.values())
+    assert sum(versions[2][s] != versions[3][s] for s in versions[2]) < sum(versions[1][s] != versions[2][s] for s in versions[2])
+    with pytest.raises(Exception, match="(?i)exist"):
+        sharding.save_version(sharding.latest_version(spark, path).withColumn("version", F.lit(2)), path)
 
 
 def test_rebalance_and_grow(spark):
@@ -153,15 +196,37 @@ def test_rebalance_and_grow(spark):
 
 
 # 5 ---------------------------------------------------------------------------------------------
-def test_media(docs, empty):
-    found = media.text_images(docs, keep_media=True).collect()
-    assert len(found) == docs.count()
-    for r in found:
-        raw = media.png_decode(bytes(r["media"])).tobytes()
-        assert len(raw) == r["payload_bytes"] and len(raw) % 576 == 0 and raw[r["n_bytes"] :] == b"\xff" * (len(raw) - r["n_bytes"])
-        assert hashlib.sha256(raw).hexdigest() == r["payload_sha256"] and zlib.crc32(raw[-32:]) == r["tail_crc32"]
-        assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and len(r["media"]) == r["media_bytes"] and len(r["feature"]) == 16
-    assert media.text_images(empty).count() == 0
+def plain_hash(samples):
+    """The cosine hash by its definition: means of cells, then each frequency as a plain sum."""
+    h, w = samples.shape
+    cells = lambda n: [(i * n // 32, max((i + 1) * n // 32, i * n // 32 + 1)) for i in range(32)]
+    small = [[np.float64(samples[a:b, c:d].astype(float).mean()) for c, d in cells(w)] for a, b in cells(h)]
+    low = [sum(small[y][x] * math.cos(math.pi * k * (2 * y + 1) / 64) * math.cos(math.pi * m * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for k in range(8) for m in range(8)]
+    low = [round(v, 6) for v in low]
+    middle = (sorted(low[1:])[31])
+    return [v > middle for v in low], min(abs(v - middle) for v in low if v != middle)
+
+
+def test_media(spark, docs, empty):
+    images = media.stored_images(docs)
+    assert dict(images.dtypes)["media"] == "binary"
+    found = {}
+    for r in media.measured(images).collect():
+        found.setdefault((r["media_sha256"], r["n_bytes"]), []).append(r)
+    assert sum(map(len, found.values())) == docs.count()
+    checked = 0
+    for image in images.collect():
+        data = bytes(image["media"])
+        raw = media.png_decode(data).tobytes()
+        for r in found[hashlib.sha256(data).hexdigest(), image["n_bytes"]]:
+            assert len(raw) == r["payload_bytes"] and len(raw) % 576 == 0 and raw[r["n_bytes"] :] == b"\xff" * (len(raw) - r["n_bytes"])
+            assert hashlib.sha256(raw).hexdigest() == r["payload_sha256"] and zlib.crc32(raw[-32:]) == r["tail_crc32"] and len(data) == r["media_bytes"]
+            bits, gap = plain_hash(np.frombuffer(raw, np.uint8).reshape(-1, 576))
+            if gap > 1e-4:
+                assert np.unpackbits(np.frombuffer(r["feature"], np.uint8)).astype(bool).tolist() == bits
+                checked += 1
+    assert checked >= 10
+    assert media.measured(media.stored_images(empty)).count() == 0
 
 
 def test_png_filters_and_damage():
@@ -260,10 +325,16 @@ def test_nearest_with_lengths(spark):
 def test_index_finds_all_within_radius():
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 256, (500, 16), dtype=np.uint8)
-    index = ann.Index(np.arange(500), np.zeros((500, 2)), codes)
-    for radius in (10, 40, 55, 70):
-        wanted = np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(axis=1) <= radius)
-        assert np.array_equal(index.within(codes[3], radius), wanted)
+    codes[:100] = codes[3]
+    for i in range(100):  # rows at all small distances
+        for bit in rng.choice(128, i // 4, replace=False):
+            codes[i, bit // 8] ^= 1 << bit % 8
+    for m in ann.SUBSTRINGS:
+        index = ann.Index(np.arange(500), np.zeros((500, 2)), codes, m)
+        for radius in (0, 1, 3, 7, 10, 17, 40, 55, 70, 128):
+            wanted = np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(axis=1) <= radius)
+            assert np.array_equal(index.within(codes[3], radius), wanted)
+            assert sum(r + 1 for r in ann.radii(radius, m)) > radius and ann.probed(codes, codes[3], m, radius)[wanted].all()
 
 
 # 8, 9, 10 --------------------------------------------------------------------------------------
@@ -297,9 +368,14 @@ def test_piece_cache_is_exact(name):
 
     model = Tokenizer.from_file(tokens.file_of(name))
     model.encode_special_tokens = True
-    for limit in (tokens.CACHE, 50):
-        cache = tokens.PieceCache(tokens.tokenizers_cache(name).encode, limit)
-        for part in (many_texts(), many_texts()[::-1]):
+    own = tokens.tokenizers_cache(name)
+    assert own.words and own.folds != own.lines
+    rng = random.Random(3)
+    more = ["".join(rng.choice("aAjJhH\u030c\u0331\u0301\u212a\u1100\u1161éÉ \n\t\u00a0\u2028ß's.,!$(-ʹΣσ字1Ⅷ_") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    words = [" ".join(rng.choice(["the", "The", "word,", "end.\nNext", "naïve!!", "É.", "x's", "a\nb", "(no)", "J\u030c", "İ.", "12"]) for _ in range(30)) for _ in range(300)]
+    for limit, whole in ((tokens.CACHE, True), (50, True), (50, False)):
+        cache = tokens.PieceCache(own.encode, limit, own.words if whole else None, own.lines, own.folds)
+        for part in (many_texts() + more + words, (many_texts() + more + words)[::-1], ["one alone"], [""], []):
             assert [tokens.ids_of(x).tolist() for x in cache(part)] == [e.ids for e in model.encode_batch(part, add_special_tokens=False)]
 
 
