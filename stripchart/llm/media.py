@@ -11,8 +11,9 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stripchart.llm.common import over_batches, table
+from stripchart.llm.common import over_batches, stored, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Samples in a row of the images that hold plain bytes; payloads are padded to whole rows.
@@ -139,36 +140,51 @@ def as_samples(data: bytes, width: int = WIDTH) -> np.ndarray:
     return np.frombuffer(padded, np.uint8).reshape(-1, width)
 
 
-def text_images(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), keep_media: bool = True) -> DataFrame:
-    """Each text stored as a PNG in a binary column, and what reading the stored bytes gives.
+def stored_images(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
+    """The keys, n_bytes and media (binary): each text's bytes as a PNG, written to the shared
+    folder (or `path`) as Parquet and read back.
 
-    A null text is an empty one: one row of padding. Equal texts give equal values; null or
-    repeated keys are carried as they are. Texts are handled one by one, so the longest text
-    bounds a task's memory. Columns: the keys, n_bytes, payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, feature (hex of the cosine hash), and media.
+    A null text is an empty one: one row of padding. Null or repeated keys are carried as they
+    are; no rows give an empty table. Texts are handled one by one, so the longest text bounds a
+    task's memory.
     """
     source = docs.select(*keys, text)
-    schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
-    schema += ", n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
+    schema = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys) + ", n_bytes long, media binary"
 
-    def measure(value: str | None) -> tuple:
-        data = (value or "").encode("utf-8", "surrogatepass")
-        media = png_encode(as_samples(data))
+    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(len(keys)).to_pylist()]
+        media = [png_encode(as_samples(d)) for d in data]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array([len(d) for d in data], pa.int64()), pa.array(media, pa.binary())], names=[*keys, "n_bytes", "media"])
+
+    return stored(over_batches(source, draw, schema), "media", path, codec="none")
+
+
+def measured(images: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What reading the stored PNGs gives: the keys, n_bytes, payload_bytes, payload_sha256,
+    tail_crc32, media_bytes, media_sha256 and feature (binary, the cosine hash). An image whose
+    bytes are damaged stops the job."""
+    schema = ", ".join(f"`{k}` {images.schema[k].dataType.simpleString()}" for k in keys)
+    schema += ", n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature binary"
+
+    def measure(media: bytes) -> tuple:
         samples = png_decode(media)
         payload = samples.tobytes()
-        row = (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples).hex())
-        return (*row, media) if keep_media else row
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns = list(zip(*map(measure, batch.column(len(keys)).to_pylist())))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+        columns = zip(*map(measure, batch.column(len(keys) + 1).to_pylist()))
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[: len(keys)], *(pa.array(c, k) for c, k in zip(columns, kinds))],
-            names=[*keys, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"][: len(keys) + len(columns)],
+            [*batch.columns[: len(keys) + 1], *(pa.array(c, k) for c, k in zip(columns, kinds))],
+            names=[*keys, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
         )
 
-    return over_batches(source, run, schema)
+    return over_batches(images.select(*keys, "n_bytes", "media"), run, schema)
 
 
 def op5_png_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_images(table(spark, sf_dir, "documents"), keep_media=False)
+    """Each document's text as a PNG in a binary column that is written and read back, with what
+    the read bytes give; the feature in hexadecimal. Null and empty texts are one row of padding,
+    equal texts have equal values, repeated rows stay, other columns are not looked at."""
+    found = measured(stored_images(table(spark, sf_dir, "documents")))
+    return found.withColumn("feature", F.lower(F.hex("feature")))
