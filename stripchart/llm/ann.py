@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Vectors become binary codes by learned rotations. A code is split into substrings and each
-substring has an index of its own. Codes within a radius of the query's agree with it up to
-radius // substrings bits in some substring, so looking up all values that near in every index
-finds all of them; those whose whole code is within the radius are ranked by the vectors.
+Vectors become binary codes by learned rotations. A code is split into m substrings and each
+substring has an index of its own. Of the codes within a radius of the query's (radius = m * near
++ more), each agrees with it up to `near` bits in one of the first more + 1 substrings, or up to
+near - 1 bits in one of the others, so looking up all values that near in every index finds all of
+them. Their whole codes are compared next, and those within the radius are ranked by the vectors.
+How many substrings probe the fewest rows is learned with the radius.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +24,15 @@ from stripchart.session import ship
 
 #: Rows the rotations and the radius are learned from, at most: those with the least hash of id.
 LEARNED = 8192
-#: Codes are this many bits, in substrings of one byte each.
+#: Codes are this many bits, in one of these numbers of substrings.
 BITS = 128
+SUBSTRINGS = (16, 8, 4, 2)
 ITERATIONS = 10
 #: The radius takes in this share of the true neighbours between rows of the sample.
 WITHIN = 0.985
-#: Rows of an index block and of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 8192
+#: Rows of an index block at least, where there are more than BLOCKS of those at most; of a query
+#: block at most.
+BLOCK_ROWS, BLOCKS, LARGE_BLOCK, BLOCK_QUERIES = 8192, 64, 32768, 32768
 NEIGHBOURS = 20
 
 
@@ -64,7 +70,7 @@ class Codes:
                 rotation = left @ right
             turned.append(rotation)
         self.rotation = np.concatenate(turned, axis=1)[:, :bits]
-        self.radius = bits
+        self.radius, self.substrings = bits, SUBSTRINGS[-1]
 
     def _extended(self, x: np.ndarray, query: bool) -> np.ndarray:
         if not self.longest:
@@ -86,35 +92,69 @@ class Codes:
             found.append(_distance(codes[near], asked[i]))
         far = np.concatenate(found) if found else np.zeros(0)
         self.radius = int(np.quantile(far, within, method="higher")) if len(far) else self.rotation.shape[1]
+        share = {m: np.mean([probed(codes, code, m, self.radius).mean() for code in asked[:100]]) for m in SUBSTRINGS}
+        self.substrings = min(share, key=share.get)
 
 
 def _distance(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return np.bitwise_count((codes ^ code).view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
-@functools.lru_cache(maxsize=16)
-def _ball(radius: int) -> np.ndarray:
-    """For each byte, all bytes that differ from it in at most radius bits."""
-    near = [x for x in range(256) if x.bit_count() <= radius]
-    return np.arange(256)[:, None] ^ np.array(near)[None, :]
+def _substrings(codes: np.ndarray, m: int) -> np.ndarray:
+    return np.ascontiguousarray(codes).view(f"u{codes.shape[-1] // m}")
 
 
-class Index:
-    """The substring indexes of one block of rows."""
+def radii(radius: int, m: int) -> list[int]:
+    """Bits in which each substring may differ (-1: it need not be looked up), so that no code
+    within the radius is missed."""
+    near, more = divmod(radius, m)
+    return [near if j <= more else near - 1 for j in range(m)]
+
+
+def probed(codes: np.ndarray, code: np.ndarray, m: int, radius: int) -> np.ndarray:
+    """Which codes the lookups for one code lead to."""
+    apart = np.bitwise_count(_substrings(codes, m) ^ _substrings(code, m))
+    return (apart.astype(int) <= np.array(radii(radius, m))).any(axis=1)
+
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
-        self.ids, self.vectors, self.codes = ids, vectors, codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.starts = [np.r_[0, np.cumsum(np.bincount(c, minlength=256))] for c in codes.T]
+@functools.lru_cache(maxsize=64)
+def _ball(bits: int, radius: int) -> np.ndarray:
+    """All masks of so many bits with at most `radius` set."""
+    return np.array([sum(1 << i for i in at) for n in range(radius + 1) for at in itertools.combinations(range(bits), n)], np.uint64)
+
+
+class Index:
+    """The substring indexes of one block of rows: of each, its distinct values in order and the
+    rows that have them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, m: int = 16):
+        self.ids, self.vectors, self.codes, self.m = ids, vectors, codes, m
+        self.tables = []
+        for column in _substrings(codes, m).T:
+            values, rows, counts = np.unique(column, return_inverse=True, return_counts=True)
+            self.tables.append((values, np.argsort(rows, kind="stable"), np.r_[0, np.cumsum(counts)]))
+
+    def _lookup(self, j: int, value: np.unsignedinteger, radius: int) -> np.ndarray:
+        """Positions of rows whose substring j differs in at most `radius` bits: its neighbours
+        are looked up one by one, or where they are more than the values there are, those are
+        gone through."""
+        values, rows, starts = self.tables[j]
+        bits = 8 * values.itemsize
+        if sum(math.comb(bits, n) for n in range(radius + 1)) < len(values):
+            wanted = _ball(bits, radius).astype(values.dtype) ^ value
+            place = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+            hit = place[values[place] == wanted]
+        else:
+            hit = np.flatnonzero(np.bitwise_count(values ^ value) <= radius)
+        size = starts[hit + 1] - starts[hit]
+        return rows[np.repeat(starts[hit] - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Positions of all rows whose code differs from `code` in at most radius bits."""
         found = np.zeros(len(self.ids), bool)
-        for j, value in enumerate(code.tolist()):
-            values = _ball(min(8, radius // len(code)))[value]
-            begin, size = self.starts[j][values], self.starts[j][values + 1] - self.starts[j][values]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            found[self.order[j][at]] = True
+        for j, (value, near) in enumerate(zip(_substrings(code, self.m), radii(radius, self.m))):
+            if near >= 0:
+                found[self._lookup(j, value, near)] = True
         near = np.flatnonzero(found)
         return near[_distance(self.codes[near], code) <= radius]
 
@@ -139,7 +179,7 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int | None = None, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, its k
     nearest by inner product among all other rows.
 
@@ -160,10 +200,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
     codes = Codes(learned, lengths=tuple(rows.agg(F.min(length), F.max(length)).first()))
     codes.learn_radius(learned, k)
     shared = spark.sparkContext.broadcast(codes)
-    index_blocks = -(-rows.count() // block_rows)
+    count = rows.count()
+    block_rows = block_rows or min(LARGE_BLOCK, max(BLOCK_ROWS, count // BLOCKS))
+    index_blocks = -(-count // block_rows)
     query_blocks = -(-asked.count() // block_queries)
-    # salt: ids are hashed apart from the vectors, and rows of one id by their vector
-    index = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), F.lit(index_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks, 1) - 1))))
+    # by their places in the stored table too, so that repeated rows are spread
+    index = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(index_blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(max(query_blocks, 1) - 1))))
     queries = asked.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(max(query_blocks, 1))).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -171,7 +213,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
         if left.num_rows and right.num_rows:
             code = shared.value
             base, ask = _matrix(left["v"], left.num_rows), _matrix(right["v"], right.num_rows)
-            block = Index(left["vec_id"].to_numpy(), base, code(base))
+            block = Index(left["vec_id"].to_numpy(), base, code(base), code.substrings)
             for query_id, query, own in zip(right["vec_id"].to_pylist(), ask, code(ask, True)):
                 ids, scores = block.nearest(query_id, query, own, code.radius, k)
                 out.append((np.full(len(ids), query_id, np.int64), ids, scores))
@@ -185,4 +227,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, vec_id: st
 
 
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every row of embeddings whose id is divisible by 20, among all
+    other rows. Vectors that are null, empty, zero, of another length, or with null or
+    non-finite components take no part, nor do null ids; repeated rows are candidates each; ties
+    go to the smaller id; no rows give no rows; other columns are not looked at."""
     return nearest(table(spark, sf_dir, "embeddings"))
