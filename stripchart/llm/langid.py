@@ -195,11 +195,26 @@ def lettered(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def identified(docs: DataFrame, keep: list[str] | None = None, made: tuple[str, str, str] = MADE) -> DataFrame:
-    """Learn from the documents that are not held out, predict all of them."""
+    """Learn from the documents that are not held out, predict all of them. No rows give no rows."""
     names, table_of = learn(docs.where(~held_out()))
     return predicted(docs, names, table_of, keep=keep, made=made)
 
 
+def recognised(docs: DataFrame, names: list[str], table_of: np.ndarray) -> DataFrame:
+    """The rows of docs, with its columns, whose language is found. Rows whose text is null or
+    has no letter go; repeated rows stay, and no rows give no rows. Where nothing was learned
+    all texts with a letter stay."""
+    if not names:
+        return lettered(docs)
+    made = tuple(c + "_" * (1 + max(map(len, docs.columns))) for c in MADE)  # longer than any name there is
+    return predicted(docs, names, table_of, made=made).where(F.col(f"`{made[0]}`") != UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and languages (the mixture) of every document, learned
+    from those that are not held out. Null texts, empty ones and those without a letter are
+    `und` with score 0; a null doc_id is not held out; long texts are read whole, in blocks;
+    equal texts have equal predictions, repeated rows stay; no rows give no rows, and where no
+    row has a lang all are `und`. Other columns are not looked at."""
     found = identified(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "languages")

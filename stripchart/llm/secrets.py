@@ -137,28 +137,40 @@ def redacted(docs: DataFrame, text: str = "text", source: str = "source", length
     the column `length`, if there is one, brought up to date in those rows.
     Shared examples stay. Only documents that contain what a base match needs are shuffled; they
     are matched by a digest of their text, so copies share one entry."""
-    key = F.sha2(F.col(text), 256)
-    hint = F.col(text).rlike(HINT)
-    some = docs.where(hint)
-    found = stored(candidates(some.select(key.alias("key"), F.col(source).alias("source"), F.col(text).alias("text")), ["key", "source"]).where("size(spans) > 0"), "candidates")
+    names = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"))
+    doc_text = F.col(f"doc.`{text}`")
+    hint = doc_text.rlike(HINT)
+    some = whole.where(hint).withColumn("key", F.sha2(doc_text, 256))
+    found = stored(candidates(some.select("key", F.col(f"doc.`{source}`").alias("source"), doc_text.alias("text")), ["key", "source"]).where("size(spans) > 0"), "candidates")
     verdicts = stored(ownership(found, F.col("source"), owner_of(F.col("source"))), "ownership")
     distinct = found.groupBy("key").agg(F.first("spans").alias("spans"))
-    marks = judged(distinct, verdicts, ["key"]).select(F.col("key").alias("_key"), F.expr(f"filter(added, s -> s.kind = {KINDS.index('live')})").alias("_marks")).where("size(_marks) > 0")
-    joined = some.withColumn("_digest", key).join(marks, F.col("_digest") == F.col("_key"), "left")
-
-    # from the last mark to the first, so that positions before it stay right
-    cut = f"""aggregate(reverse(_marks), `{text}`, (t, s) -> concat(substring(t, 1, s.start), '{REDACTED}', substring(t, s.end + 1)))"""
+    marks = judged(distinct, verdicts, ["key"]).select("key", F.expr(f"filter(added, s -> s.kind = {KINDS.index('live')})").alias("marks")).where("size(marks) > 0")
     merged = F.expr(
-        """aggregate(_marks, cast(array() as array<struct<start:int,kind:int,end:int>>), (a, s) ->
+        """aggregate(marks, cast(array() as array<struct<start:int,kind:int,end:int>>), (a, s) ->
            if(size(a) > 0 and s.start < element_at(a, -1).end,
               concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).start as start, s.kind as kind, greatest(element_at(a, -1).end, s.end) as end))),
               concat(a, array(s))))"""
     )
-    marked = joined.withColumn("_marks", merged).withColumn(text, F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.expr(cut)))
-    if length in docs.columns:
-        marked = marked.withColumn(length, F.when(F.col("_marks").isNull(), F.col(length)).otherwise(F.char_length(text)).cast(docs.schema[length].dataType))
-    return docs.where(~hint | hint.isNull()).unionByName(marked.select(*docs.columns))
+    # from the last mark to the first, so that positions before it stay right
+    cut = F.expr(f"aggregate(reverse(marks), clean, (t, s) -> concat(substring(t, 1, s.start), '{REDACTED}', substring(t, s.end + 1)))")
+    marked = some.join(marks, "key", "left").select("doc", doc_text.alias("clean"), merged.alias("marks"))
+    marked = marked.select("doc", F.col("marks").isNull().alias("same"), F.when(F.col("marks").isNull(), F.col("clean")).otherwise(cut).alias("clean"))
+
+    def column(name: str) -> Column:
+        own = F.col(f"doc.`{name}`")
+        if name == text:
+            own = F.col("clean")
+        elif name == length:
+            own = F.when(F.col("same"), own).otherwise(F.char_length("clean")).cast(docs.schema[name].dataType)
+        return own.alias(name)
+
+    return whole.where(~hint | hint.isNull()).select("doc.*").unionByName(marked.select(*map(column, names)))
 
 
 def op6_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base matches, their digest and all spans of every document, with a
+    span added over each value that the corpus-wide ownership judges. Null texts are empty ones,
+    a null source is a repository of its own name; repeated rows stay and are one repository's;
+    no rows give no rows; other columns are not looked at."""
     return scan(table(spark, sf_dir, "documents"))

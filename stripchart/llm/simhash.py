@@ -208,12 +208,16 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """docs, all its columns, with one row of each group of near duplicates: the one with the
     smallest key; of rows that repeat it any one, and one with a null key only where the group
     has no other. Rows are numbered in a stored copy, so any may repeat."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    numbered = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
     # structs compare field by field: nulls last, then the key, then the number
-    named = numbered.select(F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("key"), F.col("__row").alias("row")).alias("id"), F.col(text).alias("text"))
-    chosen = near_duplicates(named, "id", "text").where("id = component_id").select(F.col("id.row").alias("__row"))
-    return numbered.join(chosen, "__row", "left_semi").select(*docs.columns)
+    named = numbered.select(F.struct(F.col(f"doc.`{key}`").isNull().alias("last"), F.col(f"doc.`{key}`").alias("key"), "row").alias("id"), F.col(f"doc.`{text}`").alias("text"))
+    chosen = near_duplicates(named, "id", "text").where("id = component_id").select(F.col("id.row").alias("row"))
+    return numbered.join(chosen, "row", "left_semi").select("doc.*")
 
 
 def op2_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document. Texts that are null, empty or without
+    words have fingerprint zero and are linked like any other; long texts are hashed in blocks;
+    repeated rows stay; a null doc_id is never the smallest; no rows give no rows; other columns
+    are not looked at."""
     return near_duplicates(table(spark, sf_dir, "documents"))
