@@ -44,21 +44,41 @@ KEPT_PATTERNS = [
     (r"^[A-Z]{2,}[‐‑‒–-]\d", False),
     (r"position\s+standard", False),
 ]
+#: Lines that name speed and gain; {s} stands for the speed, {g} for the gain, {_} for a blank or none.
+SPEED_GAIN = {
+    "full_with_hz": "{s}{_}mm/s        {g}{_}mm/mV        40Hz",
+    "compact": "{s} mm/s   {g} mm/mV",
+    "compact_no_space": "{s}mm/s {g}mm/mV",
+    "french_abbreviated": "Vit. : {s} mm/s   Gain : {g} mm/mV",
+    "french_full": "Vitesse : {s} mm/s   Gain : {g} mm/mV",
+    "english_labeled": "Speed: {s} mm/s   Gain: {g} mm/mV",
+    "minimal_speed_only": "{s} mm/s",
+    "minimal_both": "{s}mm/s {g}mm/mV",
+    "german": "Geschw.: {s} mm/s   Verst.: {g} mm/mV",
+    "spanish": "Vel.: {s} mm/s   Gan.: {g} mm/mV",
+    "italian": "Vel.: {s} mm/s   Guad.: {g} mm/mV",
+    "portuguese": "Vel.: {s} mm/s   Ganho: {g} mm/mV",
+}
+SPEED_GAIN_OTHER = "{s}mm/s   {g}mm/mV"
 # --- end of fixed values -----------------------------------------------------------------------
 
 #: What counts as white space at the edges and in patterns: Unicode's, with no-break space.
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
-_BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_WORD = "[A-Za-z0-9_]"
+#: Letters outside ASCII whose small form is an ASCII letter: ignoring case, they are not it.
+_LIKE_ASCII = "\u212a\u0130"
 
 
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
 
 
-def java_pattern(pattern: str, case_matters: bool) -> str:
-    """The pattern for Spark: ASCII word boundaries, Unicode spaces, Unicode case folding."""
-    out = pattern.replace(r"\b", _BOUNDARY).replace(r"[\s-]", f"[{SPACES}-]").replace(r"\s", f"[{SPACES}]")
-    return out if case_matters else f"(?iu){out}"
+def java_pattern(pattern: str) -> str:
+    """The pattern for Spark: ASCII word boundaries (before words at its start, after them
+    elsewhere), Unicode spaces."""
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{_WORD}){pattern[2:]}"
+    return pattern.replace(r"\b", f"(?!{_WORD})").replace(r"[\s-]", f"[{SPACES}-]").replace(r"\s", f"[{SPACES}]")
 
 
 def is_lead_label(text: Column) -> Column:
@@ -69,9 +89,11 @@ def is_kept_text(text: Column) -> Column:
     """Whether any whitelist pattern finds the trimmed text; empty texts and lead labels stay.
     The list is leaky by design of its short patterns: four capitals or digits pass."""
     t = trimmed(text)
-    whole = "|".join(f"(?:{java_pattern(p, True)})" for p, case in KEPT_PATTERNS if case)
-    folded = "|".join(f"(?:{java_pattern(p, True)})" for p, case in KEPT_PATTERNS if not case)
-    return (t == "") | t.isin(LEAD_LABELS) | t.rlike(whole) | t.rlike(f"(?iu){folded}")
+    small = F.lower(F.translate(t, _LIKE_ASCII, "\ufffd" * len(_LIKE_ASCII)))
+    either = lambda patterns: "|".join(f"(?:{java_pattern(p)})" for p in patterns)
+    whole = either(p for p, case in KEPT_PATTERNS if case)
+    folded = either(p.lower() for p, case in KEPT_PATTERNS if not case)  # none has an escape in capitals
+    return (t == "") | t.isin(LEAD_LABELS) | small.rlike(folded) | t.rlike(whole)
 
 
 def kept(text: Column, mode: str) -> Column:
@@ -121,3 +143,24 @@ def normal_lead(text: Column, extra: dict[str, str] | None = None) -> Column:
 
 def mdc_code(name: Column) -> Column:
     return F.concat(F.lit("MDC_ECG_LEAD_"), F.upper(without_rhythm(name)))
+
+
+def hl7_time(at: Column) -> Column:
+    """Fourteen digits, from the year to the second, in the session's time zone."""
+    return F.date_format(at, "yyyyMMddHHmmss")
+
+
+def export_base(maker: Column, at: Column) -> Column:
+    """ecg_, the maker (`unknown` where it is null or empty) as a safe name, and the time."""
+    known = F.when((maker == "") | maker.isNull(), "unknown").otherwise(maker)
+    return F.concat(F.lit("ecg_"), safe_name(known), F.lit("_"), F.date_format(at, "yyyy_MM_dd_HH_mm_ss"))
+
+
+def speed_gain(speed: Column, gain: Column, form: Column, blank: Column) -> Column:
+    """The line of the form's template; a whole speed has no decimals, the gain never."""
+    number = F.when(speed == F.floor(speed), F.floor(speed).cast("string")).otherwise(speed.cast("string"))
+    templates = F.create_map(*(F.lit(x) for pair in SPEED_GAIN.items() for x in pair))
+    line = F.coalesce(templates[form], F.lit(SPEED_GAIN_OTHER))
+    for mark, value in (("{s}", number), ("{g}", gain.cast("int").cast("string")), ("{_}", blank)):
+        line = F.replace(line, F.lit(mark), value)
+    return line
