@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stripchart.queries import layouts, rasters, texts, traces  # noqa: F401  (registers)
+from stripchart.queries import drawings, layouts, rasters, reports, texts, traces  # noqa: F401  (registers)
 from stripchart.queries.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from stripchart.session import ship
 
 
 def in_order(position: str, value: str) -> Column:
@@ -53,12 +58,23 @@ def median_centred(samples: str) -> Column:
     return F.expr(f"transform({samples}, x_ -> x_ - {middle})")
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _interpolated(times: pd.Series, values: pd.Series, grids: pd.Series) -> pd.Series:
+    def one(t, v, grid):
+        if t is None or v is None or grid is None or len(t) < 2 or len(v) < len(t):
+            return None
+        t, v, grid = (np.asarray(x, float) for x in (t, v, grid))
+        at = np.clip(np.searchsorted(t, grid, side="left") - 1, 0, len(t) - 2)
+        span = t[at + 1] - t[at]
+        share = np.divide(grid - t[at], span, out=np.zeros(len(grid)), where=span != 0)
+        return v[at] + (v[at + 1] - v[at]) * share
+
+    return pd.Series([one(*row) for row in zip(times, values, grids)], dtype=object)
+
+
 def interpolated(times: str, values: str, grid: str) -> Column:
     """Linear interpolation of (times, values) at the points of grid; times ascend. Outside their
-    range the first or last segment is extended; two equal times give the earlier value."""
-    # the lambdas' names end in _, so that they do not hide columns
-    return F.expr(
-        f"""transform({grid}, t_ -> aggregate(
-            array(greatest(0, least(size({times}) - 2, size(filter({times}, x_ -> x_ < t_)) - 1))), cast(null as double),
-            (a_, i_) -> {values}[i_] + ({values}[i_ + 1] - {values}[i_]) * if({times}[i_ + 1] = {times}[i_], 0D, (t_ - {times}[i_]) / ({times}[i_ + 1] - {times}[i_]))))"""
-    )
+    range the first or last segment is extended; two equal times give the earlier value; fewer
+    than two points, or a null array, give null."""
+    ship(SparkSession.active())
+    return _interpolated(F.expr(times), F.expr(values), F.expr(grid))

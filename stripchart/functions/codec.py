@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import base64
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType
+
+from stripchart.session import ship
 
 #: Microvolts of a bit in waveform XML, and of a digit in annotated ECG XML.
 UV_PER_BIT, UV_PER_DIGIT = 0.5, 5.0
@@ -16,22 +24,35 @@ def adc_counts(samples: str, uv_per_bit: float = UV_PER_BIT) -> Column:
     return F.expr(f"transform({samples}, x_ -> cast(least(32767, greatest(-32768, floor(coalesce(x_, 0D) * 1000 / {uv_per_bit}D + 0.5D))) as int))")
 
 
+@F.pandas_udf(StringType())
+def _packed(counts: pd.Series) -> pd.Series:
+    return counts.map(lambda c: None if c is None else base64.b64encode(np.asarray(c).astype("<i2").tobytes()).decode())
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _unpacked(payloads: pd.Series, gains: pd.Series) -> pd.Series:
+    def one(payload: str | None, gain: float):
+        if payload is None or gain is None or np.isnan(gain):
+            return None
+        text = re.sub("[^A-Za-z0-9+/]", "", payload)
+        text = text[: len(text) - (len(text) % 4 == 1)]
+        raw = base64.b64decode(text + "=" * (-len(text) % 4))
+        return np.frombuffer(raw[: len(raw) // 2 * 2], "<i2") * gain / 1000 if len(raw) > 1 else np.zeros(0)
+
+    return pd.Series([one(*row) for row in zip(payloads, gains)], dtype=object)
+
+
 def int16_base64(counts: str) -> Column:
-    """Counts as little-endian signed 16-bit, in base64."""
-    word = "lpad(hex(pmod(c, 65536)), 4, '0')"
-    return F.expr(f"base64(unhex(array_join(transform({counts}, c -> concat(substring({word}, 3, 2), substring({word}, 1, 2))), '')))")
+    """Counts as little-endian signed 16-bit, in base64; a null array stays null."""
+    ship(SparkSession.active())
+    return _packed(F.expr(counts))
 
 
 def int16_samples(payload: str, gain: str) -> Column:
-    """Base64 of little-endian signed 16-bit counts to millivolts: count * gain / 1000."""
-    raw = f"unbase64(regexp_replace({payload}, '[^A-Za-z0-9+/=]', ''))"
-    byte = "cast(conv(hex(substring(b, 2 * i + {k}, 1)), 16, 10) as int)"
-    word = f"({byte.format(k=1)} + 256 * {byte.format(k=2)})"
-    return F.expr(
-        f"""aggregate(array({raw}), cast(array() as array<double>), (a, b) ->
-            case when length(b) < 2 then a else transform(sequence(0, cast(length(b) div 2 as int) - 1),
-                i -> ({word} - if({word} >= 32768, 65536, 0)) * cast({gain} as double) / 1000) end)"""
-    )
+    """Base64 of little-endian signed 16-bit counts to millivolts: count * gain / 1000. Other
+    characters and a last odd byte are left out; null without payload or gain."""
+    ship(SparkSession.active())
+    return _unpacked(F.expr(payload), F.expr(f"cast({gain} as double)"))
 
 
 def map_code(coordinate: Column) -> Column:

@@ -73,11 +73,13 @@ def rotation_candidates(polylines: DataFrame, keys: list[str], order: str) -> Da
     return long.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_c >= 4").drop("_c")
 
 
-def rotation_scores(candidates: DataFrame, keys: list[str], width: str, height: str, pts: str = "pts") -> DataFrame:
+def rotation_scores(candidates: DataFrame, keys: list[str], pts: str = "pts") -> DataFrame:
     """For each page the number of candidates whose x never falls by more than a point, as they
-    are (s0) and turned by 90, 180 and 270 degrees, and the rotation that wins."""
-    steps = {"s0": "p.x", "s90": f"{height} - p.y", "s180": f"{width} - p.x", "s270": "p.y"}
-    rises = [F.count_if(F.expr(f"forall(sequence(1, size({pts}) - 1), i -> element_at(transform({pts}, p -> {e}), i + 1) >= element_at(transform({pts}, p -> {e}), i) - 1)")).alias(n) for n, e in steps.items()]
+    are (s0) and turned by 90, 180 and 270 degrees, and the rotation that wins. How far x moves
+    between two points does not depend on the page's size."""
+    steps = {"s0": "b.x - a.x", "s90": "a.y - b.y", "s180": "a.x - b.x", "s270": "b.y - a.y"}
+    pairs = lambda step: f"zip_with(slice({pts}, 1, greatest(size({pts}) - 1, 0)), slice({pts}, 2, greatest(size({pts}) - 1, 0)), (a, b) -> {step})"
+    rises = [F.count_if(F.expr(f"forall({pairs(step)}, d -> d >= -1)")).alias(n) for n, step in steps.items()]
     scored = candidates.groupBy(*keys).agg(*rises, F.count(F.lit(1)).alias("n"))
     good = lambda c: (F.col(c) >= F.greatest(F.lit(4.0), F.col("n") / 2)) & (F.col(c) > 1.5 * F.col("s0"))
     score = lambda c: F.when(good(c), F.col(c)).otherwise(-1)

@@ -154,3 +154,19 @@ def pulse_points(x: str, y: str, width: float = 5.0, height: float = 10.0, px: f
     a, b, h = width * px * 0.2, width * px * 0.8, height * px
     steps = [(0, 0), (a, 0), (a, h), (b, h), (b, 0), (width * px, 0)]
     return F.expr("array(" + ", ".join(f"struct({x} + {dx}D as x, {y} + {dy}D as y)" for dx, dy in steps) + ")")
+
+
+def text_position(x: Column, y: Column, spacing: Column, shift_mm: Column, width_px: Column, px_per_mm: float = 12.0) -> tuple[Column, Column]:
+    """Where a lead's text stands: beside the trace's start by 10 or 5 mm, over the middle of the
+    trace (where it has a width) for `centered`, at its start for any other spacing."""
+    beside = spacing.isin("-10", "-5", "10")
+    middle = x + F.when((spacing == "centered") & (width_px > 0), width_px / 2).otherwise(0.0)
+    return F.when(beside, x + spacing.try_cast("double") * px_per_mm).otherwise(middle), y + shift_mm * px_per_mm
+
+
+def pulse_at(number: Column, row_from_1: Column, side: Column, row: Column, column: Column, columns: Column, extra_line: bool = False) -> Column:
+    """Whether the only pulse belongs in a cell: its row, and the first, middle or (for any other
+    side) last column; a strip of full width has its row alone."""
+    own = F.when(side == "left", 0).when(side == "middle", F.floor(columns / 2)).otherwise(columns - 1)
+    here = row == row_from_1 - 1
+    return F.coalesce((number == "one") & (here if extra_line else here & (column == own)), F.lit(False))

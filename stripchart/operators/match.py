@@ -46,12 +46,12 @@ def nearest(left: DataFrame, value: str, right: DataFrame, candidate: str, width
     smaller one of a tie, null where none is: an equality join on buckets of that width, not a
     comparison of all with all."""
     reach = width if limit is None else min(width, limit)
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
-    probes = numbered.select("_row", *keys, value, F.explode(F.expr(f"transform(array(-1, 0, 1), d -> cast(floor({value} / {width}D) as bigint) + d)")).alias("_b"))
+    asked = left.select(*keys, value).distinct()  # the value decides, so each is looked up once
+    probes = asked.select(*keys, value, F.explode(F.expr(f"transform(array(-1, 0, 1), d -> cast(floor({value} / {width}D) as bigint) + d)")).alias("_b"))
     buckets = right.select(*keys, F.col(candidate).alias("nearest"), F.floor(F.col(candidate) / width).cast("bigint").alias("_b")).distinct()
     distance = F.abs(F.col("nearest") - F.col(value))
-    best = probes.join(buckets, [*keys, "_b"]).where(distance <= reach).groupBy("_row").agg(F.min_by("nearest", F.struct(distance, F.col("nearest"))).alias("nearest"))
-    return numbered.join(best, "_row", "left").drop("_row")
+    best = probes.join(buckets, [*keys, "_b"]).where(distance <= reach).groupBy(*keys, value).agg(F.min_by("nearest", F.struct(distance, F.col("nearest"))).alias("nearest"))
+    return left.join(best, [*keys, value], "left").select(*left.columns, "nearest")
 
 
 def nearest_in(value: str, candidates: str) -> Column:

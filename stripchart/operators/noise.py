@@ -17,29 +17,46 @@ SUFFIX = {"low": "_BF", "powerline": "_PL", "high": "_HF"}
 RATES = (72, 100, 200)
 
 
+# --- fixed values: ranges of the noise's size in millivolts, one of three levels each ----------
+LEVELS = {
+    "low": [(0.1, 0.25), (0.25, 0.5), (0.5, 0.75)],
+    "powerline": [(0.01, 0.03), (0.03, 0.08), (0.08, 0.15)],
+    "high": [(0.02, 0.05), (0.05, 0.1), (0.1, 0.15)],
+}
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def _size(rng: np.random.RandomState, kind: str) -> float:
+    least, most = LEVELS[kind][rng.randint(3)]
+    return rng.uniform(least, most)
+
+
+def _wave(frequency: float, t: np.ndarray, phase: float = 0.0) -> np.ndarray:
+    return np.sin(2 * np.pi * frequency * t + phase)
+
+
 def low(rng: np.random.RandomState, n: int, rate: float) -> np.ndarray:
-    """Baseline wander: a sine of 0.05 to 0.3 Hz and smoothed normal noise."""
-    t = np.arange(n) / rate
-    wander = rng.uniform(0.05, 0.15) * np.sin(2 * np.pi * rng.uniform(0.05, 0.3) * t + rng.uniform(0, 2 * np.pi))
-    rough = rng.normal(0, 0.05, n)
-    return wander + (np.convolve(rough, np.ones(100) / 100, mode="same") if n >= 100 else rough)
+    """Baseline wander: a slow sine, and normal noise of a tenth of its size smoothed over 100
+    samples (over as many as there are, where they are fewer)."""
+    t, size = np.linspace(0, n / rate, n), _size(rng, "low")
+    rough = np.convolve(rng.normal(0, 0.1 * size, n), np.full(100, 0.01), mode="full")[49 : 49 + n]
+    return size * _wave(rng.uniform(0.05, 0.3), t) + rough
 
 
 def powerline(rng: np.random.RandomState, n: int, rate: float) -> np.ndarray:
-    """50 or 60 Hz with its second and, at times, third harmonic."""
-    t, f = np.arange(n) / rate, rng.choice([50, 60]) + rng.normal(0, 0.5)
-    size, phase = rng.uniform(0.01, 0.05), rng.uniform(0, 2 * np.pi)
-    out = np.sin(2 * np.pi * f * t + phase) + 0.3 * np.sin(4 * np.pi * f * t + phase)
-    if rng.uniform() < 0.3:
-        out = out + 0.1 * np.sin(6 * np.pi * f * t + phase)
-    return size * out
+    """The mains' hum of 50 or 60 Hz with its second and, at times, third harmonic."""
+    t, size, phase = np.linspace(0, n / rate, n), _size(rng, "powerline"), rng.uniform(0, 2 * np.pi)
+    hum = rng.choice([50.0, 60.0]) + rng.normal(0, 0.5)
+    shares = [1.0, 0.3, 0.1 if rng.uniform() < 0.3 else 0.0]
+    return size * sum(share * _wave(k * hum, t, phase) for k, share in enumerate(shares, 1))
 
 
 def high(rng: np.random.RandomState, n: int, rate: float) -> np.ndarray:
-    """Muscle noise: 40 to 50 Hz with slowly changing size, and white noise."""
-    t = np.arange(n) / rate
-    swell = 1 + 0.5 * np.sin(2 * np.pi * rng.uniform(0.5, 2) * t)
-    return rng.uniform(0.01, 0.03) * swell * np.sin(2 * np.pi * rng.uniform(40, 50) * t) + rng.normal(0, 0.01, n)
+    """Muscle noise: 40 to 50 Hz swelling slowly between nothing and its size, and white noise of
+    a fifth of it."""
+    t, size = np.linspace(0, n / rate, n), _size(rng, "high")
+    swell = 0.5 + 0.5 * _wave(rng.uniform(0.1, 2.0), t)
+    return size * swell * _wave(rng.uniform(40, 50), t) + rng.normal(0, 0.2 * size, n)
 
 
 KINDS = {"low": low, "powerline": powerline, "high": high}

@@ -36,7 +36,7 @@ def oriented(ops: DataFrame, pages: DataFrame) -> DataFrame:
     mixed = raw.join(page.where("weld").select("page_id"), PAGE, "left_anti").unionByName(_recoloured(raw.join(page.where("weld").select("page_id"), PAGE, "left_semi")))
     sized = mixed.join(page, PAGE).withColumn("n", F.size("pts"))
     candidates = geometry.rotation_candidates(sized, PAGE, "poly_id")
-    scored = geometry.rotation_scores(candidates, [*PAGE, "page_w", "page_h"], "page_w", "page_h").select("page_id", F.col("rotation").alias("_turn"))
+    scored = geometry.rotation_scores(candidates, PAGE).select("page_id", F.col("rotation").alias("_turn"))
     turned = sized.drop("n").join(scored, PAGE, "left").withColumn("rotation", F.coalesce("forced_rotation", "_turn", F.lit(0))).drop("_turn")
     points = F.transform("pts", lambda p: F.struct(*(c.alias(n) for c, n in zip(geometry.rotated(p["x"], p["y"], F.col("rotation"), F.col("page_w"), F.col("page_h")), "xy"))))
     side = F.col("rotation").isin(90, 270)
