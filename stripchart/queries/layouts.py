@@ -128,12 +128,11 @@ def q_lattice_minor_only(spark, sf_dir):
     return layout.minor_only(layout.lattice(spark, 40, 30)).select("x", F.col("y").cast("bigint").alias("y"))
 
 
-@query("""select x, y from (select distinct o_custkey % 50 as x, o_orderkey % 40 as y from orders) where not exists (select 1 from supplier where s_suppkey % 50 = x and s_nationkey = y)""")
+@query("""select distinct o_custkey % 60 as x, o_orderkey % 45 as y from orders where not (o_custkey % 60 % 5 = 0 and o_orderkey % 45 % 5 = 0)""")
 def q_anti_lines(spark, sf_dir):
-    """Positions of one drawing that another does not have."""
-    fine = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("x"), (F.col("o_orderkey") % 40).alias("y")).distinct()
-    coarse = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("x"), F.col("s_nationkey").cast("bigint").alias("y"))
-    return fine.join(coarse, ["x", "y"], "left_anti")
+    """Crossings of fine lines that are not crossings of major ones."""
+    fine = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 60).alias("x"), (F.col("o_orderkey") % 45).alias("y")).distinct()
+    return layout.minor_only(fine)
 
 
 @query(f"""{SAMPLES_SQL}, k as (select event_id, least(49, greatest(0, cast(round_even(v / 10, 0) as integer))) as kx, least(39, greatest(0, cast(round_even(event_id % 83 / 2.0, 0) as integer))) as ky from samples)
@@ -188,12 +187,13 @@ def q_cell_places(spark, sf_dir):
     return rounded(layout.placed_cells(cells, ["page"], "width", "spacing", 25.0, 10.0, 200.0).select("page", "row", "col", "x", "y"), "x", digits=2)
 
 
-@query("""select vec_id, round(0 + case when n > 1 then 2.5 * (n - 1) / (n - 1) end * 300, 4) as last_x, round(50 + cast(embedding[n] as double) * 120, 4) as last_y from (select vec_id, embedding, len(embedding) as n from embeddings)""")
+@query("""with e as (select vec_id, embedding, len(embedding) as n, unnest(range(len(embedding))) as i from embeddings)
+select vec_id, i as pos, round(case when n > 1 then i * 2.5 / (n - 1) else 0 end * 300, 4) as x, round(50 + cast(embedding[i + 1] as double) * 120, 4) as y from e""")
 def q_paper_points(spark, sf_dir):
-    """Channels as points of a page; the last one at the end of their time."""
+    """Channels as points of a page."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, x -> cast(x as double))").alias("s"))
-    drawn = e.select("vec_id", layout.paper_points("s", "0D", "50D", "2.5D").alias("p"))
-    return rounded(drawn.select("vec_id", F.element_at("p", -1)["x"].alias("last_x"), F.element_at("p", -1)["y"].alias("last_y")), "last_x", "last_y", digits=4)
+    drawn = e.select("vec_id", F.posexplode(layout.paper_points("s", "0D", "50D", "2.5D")).alias("pos", "p"))
+    return rounded(drawn.select("vec_id", F.col("pos").cast("bigint").alias("pos"), "p.x", "p.y"), "x", "y", digits=4)
 
 
 @query("""with f(format) as (select unnest(['3x4', '3x4+2', '6x2+1', '12x1', '3x4_paramedic', '6x1;6x1']))

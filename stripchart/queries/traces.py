@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stripchart.functions import arrays, codec, numeric
-from stripchart.operators import cluster, geometry, match, signal, stats
+from stripchart.operators import cluster, geometry, match, raster, signal, stats
 from stripchart.queries.registry import SAMPLES_SQL, query, rounded, samples, table
 
 KEY, ORDER = ["user_id"], ["t", "event_id"]
@@ -20,13 +20,19 @@ def q_upper_median_gap(spark, sf_dir):
     return rounded(found.select("user_id", "gaps", "median_gap"), "median_gap")
 
 
-@query(f"""{SAMPLES_SQL}, g as (select user_id, t - lag(t) over (partition by user_id order by t, event_id) as gap from samples where event_id % 10 < 10),
+@query(f"""{SAMPLES_SQL}, o as (select user_id, row_number() over (partition by user_id order by t, event_id) as i from samples),
+e as (select user_id, i * 2.0 + (i % 3) * 0.01 * (user_id % 10) as t from o), g as (select user_id, t - lag(t) over (partition by user_id order by t) as gap from e),
 s as (select user_id, gap, row_number() over (partition by user_id order by gap) - 1 as i, count(*) over (partition by user_id) as n from g where gap is not null),
 m as (select user_id, max(case when i = n // 2 then gap end) as m from s group by user_id)
-select s.user_id, bool_and(m > 0 and abs(gap - m) / m <= 100) as uniform from s join m using (user_id) group by s.user_id""")
+select s.user_id, bool_and(m > 0 and abs(gap - m) / m <= 0.10) as uniform from s join m using (user_id) group by s.user_id""")
 def q_uniformity(spark, sf_dir):
-    """Whether every distance is near the median one."""
-    return stats.spacing(samples(spark, sf_dir), KEY, "t", ORDER, tolerance=100).select("user_id", "uniform")
+    """Whether every distance is within a tenth of the median one; traces whose samples are moved
+    off an even axis by a share of up to a tenth, by user."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
+    rows = samples(spark, sf_dir).select("user_id", place.alias("i")).select("user_id", (F.col("i") * 2.0 + F.col("i") % 3 * 0.01 * (F.col("user_id") % 10)).alias("t"))
+    return stats.spacing(rows, KEY, "t", ["t"], tolerance=0.10).select("user_id", "uniform")
 
 
 @query(f"""{SAMPLES_SQL}, b as (select user_id, floor(v) as bin, count(*) as n, min(row(t, event_id)) as first from samples group by user_id, floor(v)),
@@ -59,19 +65,25 @@ def q_value_clusters(spark, sf_dir):
     return found.groupBy("user_id", F.col("cluster").cast("bigint").alias("cluster")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{SAMPLES_SQL}, r as (select *, case when event_type = lag(event_type) over w and abs(v - lag(v) over w) <= 250 then 0 else 1 end as new from samples window w as (partition by user_id order by t, event_id)),
-i as (select *, sum(new) over (partition by user_id order by t, event_id rows unbounded preceding) - 1 as island from r)
-select user_id, cast(island as bigint) as island, min(event_type) as style, count(*) as n, min(event_id) as first_id from i group by user_id, island""")
+@query(f"""{SAMPLES_SQL}, p as (select user_id, row_number() over (partition by user_id order by t, event_id) - 1 as i, v, event_type from samples),
+s as (select user_id, i, event_type as style, cast(i as double) as x0, v as y0, i + 1.0 as x1, case when i % 4 = 3 then v + 3 else lead(v) over (partition by user_id order by i) end as y1 from p),
+k as (select * from s where y1 is not null),
+f as (select *, case when style = lag(style) over w and pow(x0 - lag(x1) over w, 2) + pow(y0 - lag(y1) over w, 2) <= 0.25 then 0 else 1 end as new from k window w as (partition by user_id order by i)),
+c as (select *, sum(new) over (partition by user_id order by i rows unbounded preceding) as island from f)
+select user_id, min(i) as first, count(*) + 1 as points, min(style) as style, round(arg_min(y0, i) + sum(y1 * (i + 1)), 4) as weight from c group by user_id, island""")
 def q_weld_islands(spark, sf_dir):
-    """Rows of one style that continue each other closely, as islands."""
+    """Two-point segments of one style that start where the last one ended, welded to polylines;
+    every fourth ends elsewhere."""
     from pyspark.sql import Window
 
-    rows = samples(spark, sf_dir)
     w = Window.partitionBy("user_id").orderBy(*ORDER)
-    far = (F.abs(F.col("v") - F.lag("v").over(w)) > 250).cast("int")
-    jumps = rows.withColumn("far", F.coalesce(far, F.lit(0))).withColumn("jump", F.sum("far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    found = cluster.runs(jumps, KEY, ORDER, ["event_type", "jump"], "island")
-    return found.groupBy("user_id", F.col("island").cast("bigint").alias("island")).agg(F.min("event_type").alias("style"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    rows = samples(spark, sf_dir).select("user_id", (F.row_number().over(w) - 1).alias("i"), "v", "event_type", F.lead("v").over(w).alias("next"))
+    end = F.when(F.col("i") % 4 == 3, F.col("v") + 3).otherwise(F.col("next"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.alias("y"))
+    segments = rows.withColumn("end", end).where("end is not null").select("user_id", "i", F.array(point(F.col("i"), F.col("v")), point(F.col("i") + 1, F.col("end"))).alias("pts"), "event_type")
+    lines = cluster.welded(segments, KEY, "i", style=("event_type",))
+    weight = F.expr("pts[0].y + aggregate(transform(slice(pts, 2, size(pts) - 1), (p, k) -> p.y * (i + k + 1)), 0D, (a, x) -> a + x)")
+    return lines.select("user_id", F.col("i").cast("bigint").alias("first"), F.size("pts").cast("bigint").alias("points"), F.col("event_type").alias("style"), F.round(weight, 4).alias("weight"))
 
 
 @query(f"""{SAMPLES_SQL}, x as (select *, lag(v) over w as a, lead(v) over w as b from samples window w as (partition by user_id order by t, event_id)),
@@ -180,22 +192,24 @@ def q_timing_log(spark, sf_dir):
     return rounded(rounded(stats.timing(table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_tax"), "mean"), "total", digits=4)
 
 
-@query("""with c as (select cast(floor(v / 100) as integer) as y, event_id % 16 as x, event_type, max(cast(floor(v) % 256 as integer)) as m from (select event_id, event_type, value as v from events) group by 1, 2, 3)
-select y, x, max(m) as merged, case when max(m) = 0 then 255 else 0 end as empty from c group by y, x""")
+@query("""select cast(floor(value / 100) as integer) as y, cast(event_id % 16 as integer) as x, max(cast(floor(value) % 256 as integer)) as value from events group by 1, 2""")
 def q_max_merge(spark, sf_dir):
-    """Masks merged by the greatest value of each pixel, and the background class."""
+    """Masks merged by the greatest value of each pixel."""
     e = table(spark, sf_dir, "events")
-    layers = e.groupBy(F.floor(F.col("value") / 100).cast("int").alias("y"), (F.col("event_id") % 16).alias("x"), "event_type").agg(F.max((F.floor("value") % 256).cast("int")).alias("m"))
-    return layers.groupBy("y", "x").agg(F.max("m").alias("merged"), F.when(F.max("m") == 0, 255).otherwise(0).alias("empty"))
+    pixels = e.select(F.floor(F.col("value") / 100).cast("int").alias("y"), (F.col("event_id") % 16).cast("int").alias("x"), (F.floor("value") % 256).cast("int").alias("value"))
+    return raster.merged(pixels, [])
 
 
-@query("""with d as (select cast(o_orderdate as date) as day, o_custkey, sum(o_totalprice) as total from orders group by 1, 2), m as (select o_custkey, max(total) as best, count(*) as days from d group by o_custkey)
-select o_custkey, case when best > 250000 then best else 250000 end as duration_s, days from (select o_custkey, round(best, 2) as best, days from m)""")
+@query(f"""{SAMPLES_SQL}, c as (select user_id, event_type, count(*) as n, case when user_id % 4 = 0 then 0 else (max(t) - min(t)) / 1000 end as d from samples group by user_id, event_type),
+r as (select *, case when d > 0 then cast(floor(n / d * 1000) as integer) else 0 end as rate from c)
+select user_id, round(case when max(d) > 0 then max(d) else 10 end, 6) as duration_s, case when max(rate) > 0 then max(rate) else 500 end as sample_rate_hz, max(n) as samples, count(*) as channels from r group by user_id""")
 def q_channel_metadata(spark, sf_dir):
-    """Longest channel of a record, with a floor where none is long."""
-    per_day = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day"), "o_custkey").agg(F.sum("o_totalprice").alias("total"))
-    best = per_day.groupBy("o_custkey").agg(F.round(F.max("total"), 2).alias("best"), F.count(F.lit(1)).alias("days"))
-    return best.select("o_custkey", F.greatest("best", F.lit(250000.0)).alias("duration_s"), "days")
+    """Longest channel, highest rate and most samples of a record, with what holds where there is none."""
+    each = samples(spark, sf_dir).groupBy("user_id", "event_type").agg(arrays.in_order("struct(t, event_id)", "v").alias("samples"), ((F.max("t") - F.min("t")) / 1000).alias("d"))
+    channels = each.withColumn("duration_s", F.when(F.col("user_id") % 4 == 0, 0.0).otherwise(F.col("d")))
+    channels = channels.withColumn("sample_rate_hz", F.when(F.col("duration_s") > 0, F.floor(F.size("samples") / F.col("duration_s") * 1000)).otherwise(0).cast("int"))
+    found = signal.channel_metadata(channels, KEY)
+    return rounded(found, "duration_s").withColumn("samples", F.col("samples").cast("bigint"))
 
 
 @query(f"""{SAMPLES_SQL} select event_id, cast(least(65535, greatest(0, round_even((v * 9 - 250 + 200) * 16, 0))) as integer) as code,
@@ -216,38 +230,46 @@ def q_cyclic_repeat(spark, sf_dir):
 
 
 @query(f"""{SAMPLES_SQL}, a as (select user_id, list(v order by t, event_id) as s, count(*) as n, (max(t) - min(t)) / 86400 as d from samples group by user_id),
-k as (select *, greatest(1, cast(floor(7.0 * n / d + 0.5) as bigint)) as m from a where d > 0)
-select user_id, cast(case when abs(7.0 - d) < 1e-3 then n else m end as bigint) as length, round(case when abs(7.0 - d) < 1e-3 then s[n] else s[cast((m - 1) % n as bigint) + 1] end, 6) as last_v from k""")
+k as (select *, case when abs(7.0 - d) < 1e-3 then n else greatest(1, cast(floor(7.0 * n / d + 0.5) as bigint)) end as m from a where d > 0), i as (select *, unnest(range(m)) as pos from k)
+select user_id, pos, s[cast(pos % n as bigint) + 1] as v from i""")
 def q_fit_duration(spark, sf_dir):
-    """Channels cut or repeated to seven days at their own rate."""
+    """Channels cut or repeated to seven days at their own rate, sample by sample."""
     made = samples(spark, sf_dir).groupBy("user_id").agg(arrays.in_order("struct(t, event_id)", "v").alias("s"), ((F.max("t") - F.min("t")) / 86400).alias("d")).where("d > 0")
-    fitted = made.select("user_id", arrays.fit_to_duration("s", "d", 7.0).alias("s"))
-    return rounded(fitted.select("user_id", F.size("s").cast("bigint").alias("length"), F.element_at("s", -1).alias("last_v")), "last_v")
+    fitted = made.select("user_id", F.posexplode(arrays.fit_to_duration("s", "d", 7.0)).alias("pos", "v"))
+    return fitted.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query(f"""{SAMPLES_SQL}, a as (select user_id, count(*) as n, (max(t) - min(t)) / 86400 as d from samples where event_type = 'click' group by user_id)
-select user_id, cast(n * case when d >= 60 then 1 else greatest(1, ceil(60 / d - 0.05)) end as bigint) as length from a where d > 0""")
+@query(f"""{SAMPLES_SQL}, a as (select user_id, event_type, list(v order by t, event_id) as s, count(*) as n, (max(t) - min(t)) / 86400 as d from samples group by user_id, event_type),
+k as (select *, unnest(range(cast(n * case when d >= 30 then 1 else greatest(1, ceil(30 / d - 0.05)) end as bigint))) as pos from a where d > 10)
+select user_id, event_type, pos, s[cast(pos % n as bigint) + 1] as v from k""")
 def q_rhythm_repeat(spark, sf_dir):
-    """A short rhythm channel repeated in whole."""
-    made = samples(spark, sf_dir).where("event_type = 'click'").groupBy("user_id").agg(arrays.in_order("struct(t, event_id)", "v").alias("s"), ((F.max("t") - F.min("t")) / 86400).alias("d")).where("d > 0")
-    return made.select("user_id", F.size(arrays.repeated_to("s", "d", 60.0)).cast("bigint").alias("length"))
+    """Short rhythm channels repeated in whole, sample by sample."""
+    made = samples(spark, sf_dir).groupBy("user_id", "event_type").agg(arrays.in_order("struct(t, event_id)", "v").alias("s"), ((F.max("t") - F.min("t")) / 86400).alias("d")).where("d > 10")
+    longer = made.select("user_id", "event_type", F.posexplode(arrays.repeated_to("s", "d", 30.0)).alias("pos", "v"))
+    return longer.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query(f"""{SAMPLES_SQL}, p as (select user_id, avg(case when event_type = 'click' then v end) as a, avg(case when event_type = 'view' then v end) as b from samples group by user_id)
-select user_id, round(b - a, 6) as iii, round(-(a + b) / 2, 6) as avr, round((a - (b - a)) / 2, 6) as avl, round((b + (b - a)) / 2, 6) as avf from p""")
+@query(f"""{SAMPLES_SQL}, p as (select user_id, v, row_number() over (partition by user_id order by t, event_id) - 1 as i, count(*) over (partition by user_id) as n from samples),
+h as (select user_id, i // 2 as pos, max(case when i % 2 = 0 then v end) as a, max(case when i % 2 = 1 then v end) as b from p where i < n - n % 2 group by 1, 2)
+select user_id, pos, round(b - a, 6) as iii, round(-(a + b) / 2, 6) as avr, round((a - (b - a)) / 2, 6) as avl, round((b + (b - a)) / 2, 6) as avf from h""")
 def q_derived_leads(spark, sf_dir):
-    """Limb leads from the first two."""
-    wide = samples(spark, sf_dir).groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("v")).select("user_id", F.array("click").alias("a"), F.array("view").alias("b"))
-    lead = lambda name: arrays.derived("a", "b", name)[0]
-    return rounded(wide.select("user_id", lead("III").alias("iii"), lead("aVR").alias("avr"), lead("aVL").alias("avl"), lead("aVF").alias("avf")), "iii", "avr", "avl", "avf")
+    """Limb leads from the first two, which take turns in each trace."""
+    made = samples(spark, sf_dir).groupBy("user_id").agg(arrays.in_order("struct(t, event_id)", "v").alias("s"))
+    half = lambda k: F.expr(f"transform(sequence(0, size(s) div 2 - 1), i -> s[cast(2 * i + {k} as int)])")
+    two = made.where("size(s) > 1").select("user_id", half(0).alias("a"), half(1).alias("b"))
+    leads = two.select("user_id", F.arrays_zip(*(arrays.derived("a", "b", n).alias(n) for n in ("III", "aVR", "aVL", "aVF"))).alias("z"))
+    each = leads.select("user_id", F.posexplode("z").alias("pos", "z")).select("user_id", F.col("pos").cast("bigint").alias("pos"), *(F.col("z")[n].alias(n.lower()) for n in ("III", "aVR", "aVL", "aVF")))
+    return rounded(each, "iii", "avr", "avl", "avf")
 
 
-@query(f"{SAMPLES_SQL} select event_id, cast(least(32767, greatest(-32768, floor((v - 250) * 0.1 * 1000 / 0.5 + 0.5))) as integer) as count, round(least(32767, greatest(-32768, floor((v - 250) * 0.1 * 1000 / 0.5 + 0.5))) * 0.5 / 1000, 6) as mv from samples")
+@query(f"""{SAMPLES_SQL} select user_id, row_number() over (partition by user_id order by t, event_id) - 1 as pos, cast(least(32767, greatest(-32768, floor((v - 250) * 0.1 * 1000 / 0.5 + 0.5))) as integer) as count,
+ round(least(32767, greatest(-32768, floor((v - 250) * 0.1 * 1000 / 0.5 + 0.5))) * 0.5 / 1000, 6) as mv from samples""")
 def q_int16_roundtrip(spark, sf_dir):
-    """Samples to base64 of 16-bit counts and back."""
-    arrays_of = samples(spark, sf_dir).select("event_id", F.expr("array((v - 250) * 0.1D)").alias("s"))
-    coded = arrays_of.withColumn("c", codec.adc_counts("s")).withColumn("b64", codec.int16_base64("c"))
-    return rounded(coded.select("event_id", F.col("c")[0].alias("count"), codec.int16_samples("b64", "0.5")[0].alias("mv")), "mv")
+    """Traces to base64 of 16-bit counts and back, sample by sample."""
+    made = samples(spark, sf_dir).groupBy("user_id").agg(arrays.in_order("struct(t, event_id)", "(v - 250) * 0.1D").alias("s"))
+    coded = made.withColumn("c", codec.adc_counts("s")).withColumn("b64", codec.int16_base64("c")).withColumn("mv", codec.int16_samples("b64", "0.5"))
+    each = coded.select("user_id", F.posexplode(F.arrays_zip("c", "mv")).alias("pos", "z"))
+    return rounded(each.select("user_id", F.col("pos").cast("bigint").alias("pos"), F.col("z.c").alias("count"), F.col("z.mv").alias("mv")), "mv")
 
 
 @query(f"""{SAMPLES_SQL}, a as (select user_id, list(cast(floor(v / 100 * 1000 / 5 + 0.5) as bigint) order by t, event_id) as d, count(*) as n from samples group by user_id), m as (select max(n) as longest from a)
