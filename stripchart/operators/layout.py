@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stripchart.functions import arrays
+
 # --- fixed values: orders and formats -----------------------------------------------------------
 MEASURED = ["I", "II", "V1", "V2", "V3", "V4", "V5", "V6"]
 LEAD_ORDERS = {
@@ -170,3 +172,79 @@ def pulse_at(number: Column, row_from_1: Column, side: Column, row: Column, colu
     own = F.when(side == "left", 0).when(side == "middle", F.floor(columns / 2)).otherwise(columns - 1)
     here = row == row_from_1 - 1
     return F.coalesce((number == "one") & (here if extra_line else here & (column == own)), F.lit(False))
+
+
+def extent(samples: str, first: str, count: str, above: bool) -> Column:
+    """How far a window of the samples reaches above (or below) the median of all of them, never
+    below 0; null where the window is empty."""
+    centred = arrays.median_centred(samples)
+    window = F.slice(centred, F.expr(f"cast({first} as int)") + 1, F.greatest(F.expr(f"cast({count} as int)"), F.lit(0)))
+    far = F.array_max(window) if above else -F.array_min(window)
+    return F.when(F.size(window) > 0, F.greatest(far, F.lit(0.0)))
+
+
+def row_extents(cells: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
+    """keys, row, above, below of each row of cells (row, col, cols, slice, strip, samples): a cell
+    shows its slice of the source, a strip's row the first `cols` slices in one."""
+    first, count = "if(strip, 0, col * slice)", "if(strip, cols * slice, slice)"
+    each = cells.select(*keys, "row", extent(samples, first, count, True).alias("a"), extent(samples, first, count, False).alias("b"))
+    return each.groupBy(*keys, "row").agg(F.coalesce(F.max("a"), F.lit(0.0)).alias("above"), F.coalesce(F.max("b"), F.lit(0.0)).alias("below"))
+
+
+#: Millimetres around the signals of a canvas: left, right, top, above the strip, bottom, from the
+#: top of a row to its line.
+INSET_MM, RIGHT_MM, TOP_MM, OVER_STRIP_MM, BOTTOM_MM, SHIFT_MM = 5.0, 2.0, 3.0, 2.0, 1.0, 5.0
+CANVAS = {
+    "rows": 1, "cols": 1, "speed": 25.0, "gain": 10.0, "h_spacing": 0.0, "v_spacing": 24.0, "text_shift": 14.0, "text_size": 4.0, "pulse": False, "pulse_s": 0.28, "pulse_gap_mm": 0.0,
+    "pulse_side": "right", "pulse_on_strip": False, "source_s": 10.0, "independent": False, "above": 0.0, "below": 0.0, "strip_px": 0.0,
+}
+
+
+def canvas_size(px: float = PX_PER_MM, **given: Column) -> Column:
+    """Size of a page that fits its signals, and where they start on it, in closed form. given: any
+    of CANVAS, as columns; `above` and `below` are the extents of the first and the last row."""
+    c = {k: given.get(k, F.lit(v)) for k, v in CANVAS.items()}
+    segment = c["speed"] * px * c["source_s"] / F.when(c["independent"], 1).otherwise(c["cols"])
+    block = c["cols"] * segment + (c["cols"] - 1) * c["h_spacing"] * px
+    extra = F.when(c["pulse"], c["pulse_s"] * c["speed"] * px + c["pulse_gap_mm"] * px).otherwise(0.0)
+    left = INSET_MM * px + F.when(c["pulse_side"] == "left", extra).otherwise(0.0)
+    # a pulse stands past the signals on a strip, and where it leaves a cell less than half its width
+    past = F.when(c["pulse_on_strip"], F.greatest(left + block, left + c["cols"] * segment + extra)).when(segment - extra < segment * 0.5, left + block + extra).otherwise(left + block)
+    right = F.when(c["pulse"], past).otherwise(left + block)
+    top = F.greatest(c["above"] * c["gain"], c["text_shift"] - SHIFT_MM + c["text_size"]) * px
+    span, under = (c["rows"] - 1) * c["v_spacing"] * px, c["below"] * c["gain"] * px
+    strip = F.when(c["strip_px"] > 0, c["strip_px"] + OVER_STRIP_MM * px).otherwise(0.0)
+    height = F.ceil(TOP_MM * px + top + span + under + strip + BOTTOM_MM * px)
+    return F.struct(
+        F.ceil(right + RIGHT_MM * px).alias("width"), height.alias("height"), left.alias("x"), (height - TOP_MM * px - top + SHIFT_MM * px).alias("y"), block.alias("signal_width"), (span + under + SHIFT_MM * px).alias("signal_height"),
+    )
+
+
+# --- fixed values: millimetres left free for texts around a grid --------------------------------
+TEXT_ZONES = {"left": 5.0, "right": 20.0, "top": 50.0, "bottom": 10.0}
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def grid_area(style: Column, width: Column, height: Column, rows: Column, squares: Column | None = None, text_mm: Column | None = None, px: float = PX_PER_MM) -> Column:
+    """Where the grid lies on a page: all of it, or (`with_text_zones`) whole 5 mm squares between
+    the zones for texts. squares: struct x, y, align_x, left_mm, align_y, top_mm, or null; text_mm:
+    height of the texts that are shown. Rows are at most 25 mm apart there, at least 10, and 30
+    on a full grid."""
+    square = 5 * px
+    zone = {k: F.lit(v * px) for k, v in TEXT_ZONES.items()}
+    whole = lambda length: F.floor(length / square) * square
+    w, h = whole(width - zone["left"] - zone["right"]), whole(height - zone["top"] - zone["bottom"])
+    x, y = zone["left"], zone["bottom"]
+    if squares is not None:
+        asked = squares.isNotNull()
+        w, h = (F.when(asked, whole(F.least(squares[n] * square, own))).otherwise(own) for n, own in (("x", w), ("y", h)))
+        texts = (F.lit(8.0) if text_mm is None else F.coalesce(text_mm, F.lit(8.0))) * px
+        centred_x = zone["left"] + (width - zone["left"] - zone["right"] - w) / 2
+        left = F.when(squares["align_x"] == "left", F.least(F.coalesce(squares["left_mm"], F.lit(0)) * px, width - w)).otherwise(centred_x)
+        high = F.greatest(height - texts - h - F.coalesce(squares["top_mm"], F.lit(0)) * px, zone["bottom"])
+        low = F.when(squares["align_y"] == "top", high).when(squares["align_y"] == "bottom", zone["bottom"]).otherwise(zone["bottom"] + (height - texts - zone["bottom"] - h) / 2)
+        x, y = F.when(asked, left).otherwise(x), F.when(asked, low).otherwise(y)
+    zoned = style == "with_text_zones"
+    spacing = F.greatest(F.lit(10.0), F.least(F.lit(25.0), (h - 20 * px) / rows / px))
+    pick = lambda own, full: F.when(zoned, own).otherwise(full).cast("double")
+    return F.struct(pick(x, F.lit(0)).alias("x"), pick(y, F.lit(0)).alias("y"), pick(w, width).alias("width"), pick(h, height).alias("height"), pick(spacing, F.lit(30)).alias("most_spacing_mm"))

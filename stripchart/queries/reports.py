@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stripchart.functions import streams, text
+from stripchart.functions.arrays import in_order
 from stripchart.operators import checks, layout, sampling, verify
-from stripchart.queries.registry import query, rounded, table
+from stripchart.queries.registry import query, rounded, samples, table
 from stripchart.queries.texts import _LABELS, _sql_patterns
-from stripchart.sources import writers
+from stripchart.sources import waveform_xml, writers
 
 _POINTS_SQL = """m as (select l_orderkey as page, l_returnflag as lead, l_linenumber as sample, l_extendedprice / 20000 as mv, 500.0 as base, 500 - l_extendedprice / 20000 * 120 - (l_orderkey % 15 - 7) as y from lineitem),
 e as (select *, mv * 10 as expected, (base - y) / 12 as actual, (base - y) / 12 - mv * 10 as error from m)"""
@@ -200,3 +201,80 @@ def q_speed_gain_texts(spark, sf_dir):
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", text.speed_gain(pick([12.5, 25.0, 50.0], k % 3), pick([5.0, 10.0, 20.0], F.col("p_size") % 3), pick(_SPEEDS, k % 13), F.lit(" ")).alias("line"))
+
+
+@query("""with c as (select user_id, event_type, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as i, floor(value / 100 * 1000 / 5 + 0.5) as digit from events),
+n as (select user_id, max(i) + 1 as n from c group by user_id)
+select c.user_id, 'MDC_ECG_LEAD_' || upper(event_type) as code, max(n) as digits, cast(sum(digit * (i + 1)) as bigint) as weight, 'Anonymous' as given, '19700101000000' as low, strftime(to_timestamp(max(n) / 500.0) at time zone 'UTC', '%Y%m%d%H%M%S') as high from c join n using (user_id) group by c.user_id, event_type""")
+def q_annotated_xml(spark, sf_dir):
+    """Annotated ECG written from channels and read back with Spark's own paths."""
+    rows = samples(spark, sf_dir).groupBy("user_id", "event_type").agg(in_order("struct(t, event_id)", "v / 100").alias("samples"))
+    placed = rows.select(F.col("user_id").alias("ecg_id"), F.hash("event_type").alias("pos"), F.concat("event_type", F.lit("_rhythm")).alias("name"), "samples", F.lit(500).alias("sample_rate_hz"))
+    written = waveform_xml.write_annotated(placed)
+    at = lambda path: F.expr(f"""xpath(xml, "{path}")""")
+    local = lambda *names: "".join(f"//*[local-name()='{n}']" for n in names)
+    value = local("sequence") + "[.//*[local-name()='digits']]"
+    read = written.select("ecg_id", at(local("given") + "/text()")[0].alias("given"), at(local("effectiveTime", "low") + "/@value")[0].alias("low"), at(local("effectiveTime", "high") + "/@value")[0].alias("high"), F.arrays_zip(at(value + "/*[local-name()='code']/@code").alias("code"), at(local("digits") + "/text()").alias("text")).alias("z"))
+    each = read.select("ecg_id", "given", "low", "high", F.explode("z").alias("z")).withColumn("d", F.split("z.text", " ").cast("array<bigint>"))
+    weight = F.expr("aggregate(transform(d, (x, i) -> x * (i + 1)), 0L, (a, x) -> a + x)")
+    return each.select(F.col("ecg_id").alias("user_id"), F.col("z.code").alias("code"), F.size("d").cast("bigint").alias("digits"), weight.alias("weight"), "given", "low", "high")
+
+
+@query("""with c as (select user_id, event_type, list(least(32767, greatest(-32768, floor((value - 250) * 10 / 0.5 + 0.5))) * 0.5 / 1000 order by ts, event_id) as s from events group by 1, 2),
+f as (select user_id, arg_min(s, case event_type when 'view' then 0 when 'click' then 1 else 2 end) filter (event_type in ('view', 'click')) as s from c group by user_id)
+select user_id, len(s) as samples, round(list_sum(s), 4) as total from f where s is not null""")
+def q_rhythm_strip(spark, sf_dir):
+    """The rhythm strip of documents with two, named in either case: the first by position."""
+    rows = samples(spark, sf_dir).groupBy("user_id", "event_type").agg(in_order("struct(t, event_id)", "(v - 250) / 100").alias("samples"))
+    place = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 2).otherwise(0)
+    name = F.when(F.col("event_type") == "view", "V1_RHYTHM").when(F.col("event_type") == "click", "II_rhythm").otherwise(F.concat("event_type", F.lit("_rhythm_x")))
+    placed = rows.select(F.col("user_id").alias("ecg_id"), place.alias("pos"), name.alias("name"), "samples", F.lit(500).alias("sample_rate_hz"))
+    found = waveform_xml.rhythm_strip(waveform_xml.write_muse(placed))
+    return found.select(F.col("ecg_id").alias("user_id"), F.size("samples").cast("bigint").alias("samples"), F.round(F.expr("aggregate(samples, 0D, (a, x) -> a + x)"), 4).alias("total"))
+
+
+@query("""with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as s, vec_id % 4 as col, vec_id % 3 = 0 as strip from embeddings), m as (select *, list_median(s) as mid from e),
+w as (select *, case when strip then s[1:64] else s[col * 16 + 1 : col * 16 + 16] end as own from m),
+x as (select vec_id // 8 as page, vec_id % 2 as row, greatest(0, list_max(own) - mid) as a, greatest(0, mid - list_min(own)) as b from w)
+select page, row, round(max(a), 6) as above, round(max(b), 6) as below from x group by page, row""".replace("list_median(s)", "list_aggregate(s, 'median')"))
+def q_row_extents(spark, sf_dir):
+    """How far rows reach above and below their lines: cells by their slices, strips as a whole."""
+    v = F.col("vec_id")
+    cells = table(spark, sf_dir, "embeddings").select(F.floor(v / 8).alias("page"), (v % 2).alias("row"), (v % 4).alias("col"), F.lit(4).alias("cols"), F.lit(16).alias("slice"), (v % 3 == 0).alias("strip"), F.expr("transform(embedding, x -> cast(x as double))").alias("samples"))
+    return rounded(layout.row_extents(cells, ["page"]), "above", "below")
+
+
+@query("""with p as (select p_partkey, 1 + p_size % 6 as rows, 1 + p_partkey % 4 as cols, [12.5, 25, 50][p_size % 3 + 1] as speed, [5, 10, 20][p_partkey % 3 + 1] as gain, cast(p_size % 11 as double) as gap, p_partkey % 2 = 0 as pulse, case p_partkey % 5 when 0 then 'left' else 'right' end as side, p_partkey % 7 = 0 as on_strip,
+ p_size / 20.0 as above, p_size / 30.0 as below, case when p_partkey % 3 = 0 then 90.0 else 0.0 end as strip from part),
+s as (select *, speed * 12 * 10 / cols as seg, case when pulse then 0.28 * speed * 12 + 12 else 0 end as extra from p),
+b as (select *, cols * seg + (cols - 1) * gap * 12 as block, 60 + case when side = 'left' then extra else 0 end as x0 from s),
+r as (select *, case when not pulse then x0 + block when on_strip then greatest(x0 + block, x0 + cols * seg + extra) when seg - extra < seg * 0.5 then x0 + block + extra else x0 + block end as right_end, greatest(above * gain, 13) * 12 as top from b),
+h as (select *, ceil(36 + top + (rows - 1) * 24 * 12 + below * gain * 12 + case when strip > 0 then strip + 24 else 0 end + 12) as height from r)
+select p_partkey, cast(ceil(right_end + 24) as bigint) as width, cast(height as bigint) as height, round(x0, 6) as x, round(height - 36 - top + 60, 6) as y, round(block, 6) as signal_width from h""")
+def q_canvas_layout(spark, sf_dir):
+    """Pages that fit their signals, in closed form."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    size = layout.canvas_size(
+        rows=n % 6 + 1, cols=k % 4 + 1, speed=pick([12.5, 25.0, 50.0], n % 3), gain=pick([5, 10, 20], k % 3), h_spacing=(n % 11).cast("double"), pulse=k % 2 == 0, pulse_gap_mm=F.lit(1.0),
+        pulse_side=F.when(k % 5 == 0, "left").otherwise("right"), pulse_on_strip=k % 7 == 0, above=n / 20.0, below=n / 30.0, strip_px=F.when(k % 3 == 0, 90.0).otherwise(0.0),
+    )
+    found = table(spark, sf_dir, "part").select("p_partkey", size.alias("z"))
+    return rounded(found.select("p_partkey", F.col("z.width").cast("bigint").alias("width"), F.col("z.height").cast("bigint").alias("height"), "z.x", "z.y", "z.signal_width"), "x", "y", "signal_width")
+
+
+@query("""with p as (select p_partkey, case p_size % 3 when 0 then 'full_grid' else 'with_text_zones' end as style, case p_partkey % 2 when 0 then 3564.0 else 3352.0 end as w, case p_partkey % 2 when 0 then 2520.0 else 2590.0 end as h, 1 + p_size % 12 as rows, p_partkey % 3 > 0 as asked, 40 + p_size % 20 as sx, 20 + p_size % 18 as sy,
+ case p_partkey % 4 when 0 then 'left' else 'centered' end as ax, ['top', 'bottom', 'centered'][p_partkey % 3 + 1] as ay, 10 + p_size % 6 * 4 + 2 as texts from part),
+g as (select *, floor((w - 300) / 60) * 60 as gw0, floor((h - 720) / 60) * 60 as gh0 from p),
+s as (select *, case when asked then least(sx * 60, gw0) else gw0 end as gw, case when asked then least(sy * 60, gh0) else gh0 end as gh from g),
+z as (select *, case when not asked then 60 when ax = 'left' then least(15 * 12, w - gw) else 60 + (w - 300 - gw) / 2 end as x, case when not asked or ay = 'bottom' then 120 when ay = 'top' then greatest(h - texts * 12 - gh - 60, 120) else 120 + (h - texts * 12 - 120 - gh) / 2 end as y from s)
+select p_partkey, case when style = 'full_grid' then 0 else round(x, 6) end as x, case when style = 'full_grid' then 0 else round(y, 6) end as y, case when style = 'full_grid' then w else gw end as width, case when style = 'full_grid' then h else gh end as height,
+ case when style = 'full_grid' then 30 else round(greatest(10, least(25, (gh - 240) / rows / 12)), 6) end as most_spacing_mm from z""")
+def q_grid_area(spark, sf_dir):
+    """Where grids lie on their pages: whole ones, and whole squares between the zones for texts."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    side = F.element_at(F.array(*map(F.lit, ["top", "bottom", "centered"])), (k % 3 + 1).cast("int"))
+    squares = F.when(k % 3 > 0, F.struct((n % 20 + 40).alias("x"), (n % 18 + 20).alias("y"), F.when(k % 4 == 0, "left").otherwise("centered").alias("align_x"), F.lit(15).alias("left_mm"), side.alias("align_y"), F.lit(5).alias("top_mm")))
+    even = k % 2 == 0
+    area = layout.grid_area(F.when(n % 3 == 0, "full_grid").otherwise("with_text_zones"), F.when(even, 3564.0).otherwise(3352.0), F.when(even, 2520.0).otherwise(2590.0), n % 12 + 1, squares, n % 6 * 4 + 12)
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", area.alias("a")).select("p_partkey", "a.*"), "x", "y", "most_spacing_mm")

@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stripchart.functions import arrays, codec
-from stripchart.functions.text import LEADS, without_rhythm
+from stripchart.functions.text import LEADS, mdc_code
 from stripchart.functions.codec import xml_escaped
 
 _RHYTHM = "//Waveform[translate(WaveformType, 'rhytm', 'RHYTM')='RHYTHM']"
 
 
+def _lead_data(documents: DataFrame) -> DataFrame:
+    """ecg_id, pos, name, gain, payload of the lead data of rhythm waveforms, in their order."""
+    path = lambda field: F.expr(f"""xpath(xml, "{_RHYTHM}/LeadData/{field}/text()")""")
+    ok = documents.where(F.col("xml").isNotNull()).select("ecg_id", path("LeadID").alias("n"), path("LeadAmplitudeUnitsPerBit").alias("g"), path("WaveFormData").alias("d"))
+    return ok.select("ecg_id", F.posexplode(F.arrays_zip("n", "g", "d")).alias("pos", "z")).select("ecg_id", "pos", F.trim("z.n").alias("name"), F.col("z.g").alias("gain"), F.col("z.d").alias("payload"))
+
+
 def channels(documents: DataFrame, derive: bool = True) -> DataFrame:
     """ecg_id, name, samples (millivolts), of the rhythm waveforms of each document.
 
@@ -22,9 +29,7 @@ def channels(documents: DataFrame, derive: bool = True) -> DataFrame:
     computed from I and II where both are there, in place of what the document says. Documents
     that are not well-formed have no channels.
     """
-    path = lambda field: F.expr(f"""xpath(xml, "{_RHYTHM}/LeadData/{field}/text()")""")
-    ok = documents.where(F.col("xml").isNotNull()).select("ecg_id", path("LeadID").alias("n"), path("LeadAmplitudeUnitsPerBit").alias("g"), path("WaveFormData").alias("d"))
-    each = ok.select("ecg_id", F.posexplode(F.arrays_zip("n", "g", "d")).alias("pos", "z")).select("ecg_id", "pos", F.trim("z.n").alias("name"), F.col("z.g").alias("gain"), F.col("z.d").alias("payload"))
+    each = _lead_data(documents)
     last = each.groupBy("ecg_id", "name").agg(F.max_by(F.struct("gain", "payload"), "pos").alias("v"))
     read = last.select("ecg_id", "name", codec.int16_samples("v.payload", "v.gain").alias("samples"))
     if not derive:
@@ -44,14 +49,17 @@ def sample_base(documents: DataFrame) -> DataFrame:
     return documents.select("ecg_id", F.expr("try_cast(xpath_string(xml, '//SampleBase') as int)").alias("sample_rate_hz"))
 
 
-def rhythm_strip(read: DataFrame) -> DataFrame:
-    """The first channel whose name ends as a rhythm strip, by name."""
-    return read.where(F.col("name").rlike("_rhythm$")).groupBy("ecg_id").agg(F.min_by("samples", "name").alias("samples"))
+def rhythm_strip(documents: DataFrame) -> DataFrame:
+    """ecg_id, samples of the first channel, by its position, whose name ends as a rhythm strip's,
+    in either case, and which has a gain and data."""
+    found = _lead_data(documents).where(F.col("name").rlike("(?i)_rhythm$") & F.col("gain").isNotNull() & F.col("payload").isNotNull())
+    first = found.groupBy("ecg_id").agg(F.min_by(F.struct("gain", "payload"), "pos").alias("v"))
+    return first.select("ecg_id", codec.int16_samples("v.payload", "v.gain").alias("samples"))
 
 
-def longer_rhythm(read: DataFrame) -> DataFrame:
-    """Lead II replaced by the rhythm strip where that is longer."""
-    strips = rhythm_strip(read).withColumnRenamed("samples", "_strip")
+def longer_rhythm(read: DataFrame, documents: DataFrame) -> DataFrame:
+    """Channels of the documents with lead II replaced by the rhythm strip where that is longer."""
+    strips = rhythm_strip(documents).withColumnRenamed("samples", "_strip")
     joined = read.join(strips, "ecg_id", "left")
     use = (F.col("name") == "II") & (F.size("_strip") > F.size("samples"))
     return joined.withColumn("samples", F.when(use, F.col("_strip")).otherwise(F.col("samples"))).drop("_strip")
@@ -75,26 +83,53 @@ def write_muse(rows: DataFrame) -> DataFrame:
     return whole.select("ecg_id", F.concat(head, F.array_join("texts", "\n"), F.lit("\n  </Waveform>\n</RestingECG>")).alias("xml"))
 
 
-def mdc_sequence(name: Column, digits: Column) -> Column:
-    return F.concat(F.lit('<component><sequence><code code="MDC_ECG_LEAD_'), F.upper(without_rhythm(name)), F.lit('" codeSystem="2.16.840.1.113883.6.24" codeSystemName="MDC"/><value xsi:type="SLIST_PQ"><origin value="0" unit="uV"/><scale value="5" unit="uV"/><digits>'), digits, F.lit("</digits></value></sequence></component>"))
+# --- fixed values: elements and code systems of annotated ECG ------------------------------------
+HEAD = """<?xml version="1.0" encoding="UTF-8"?>
+<AnnotatedECG xmlns="urn:hl7-org:v3" xmlns:voc="urn:hl7-org:v3/voc" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="urn:hl7-org:v3 ../schema/PORT_MT020001.xsd" classCode="OBS" moodCode="EVN" type="Observation">
+  <id extension="{id}"/>
+  <code code="93000" codeSystem="2.16.840.1.113883.6.12" codeSystemName="CPT-4"/>
+  <effectiveTime><low value="{low}"/><high value="{high}"/></effectiveTime>
+  <confidentialityCode code="N" codeSystem="2.16.840.1.113883.5.25"/>
+  <componentOf><timepointEvent><componentOf><subjectAssignment><subject><trialSubject><subjectDemographicPerson>
+    <name><given>Anonymous</given><family>Patient</family></name>
+    <administrativeGenderCode code="UN" codeSystem="2.16.840.1.113883.5.1"/>
+    <birthTime value=""/>
+  </subjectDemographicPerson></trialSubject></subject></subjectAssignment></componentOf></timepointEvent></componentOf>
+  <component><series classCode="OBSSER" moodCode="EVN">
+    <id extension="{id}"/>
+    <code code="RHYTHM" codeSystem="2.16.840.1.113883.5.4" codeSystemName="ActCode" displayName="Rhythm Waveforms"/>
+    <effectiveTime><low value="{low}" inclusive="true"/><high value="{high}" inclusive="false"/></effectiveTime>
+    <author><seriesAuthor><manufacturedSeriesDevice><manufacturerModelName>{maker}</manufacturerModelName></manufacturedSeriesDevice><manufacturerOrganization><name>{maker}</name></manufacturerOrganization></seriesAuthor></author>
+    <component><sequenceSet>
+      <component><sequence><code code="TIME_ABSOLUTE" codeSystem="2.16.840.1.113883.5.4" codeSystemName="ActCode"/><value xsi:type="GLIST_TS"><head value="{low}" unit="s"/><increment value="{step}" unit="s"/></value></sequence></component>
+"""
+SEQUENCE = """      <component><sequence><code code="{code}" codeSystem="2.16.840.1.113883.6.24" codeSystemName="MDC"/><value xsi:type="SLIST_PQ"><origin value="0" unit="uV"/><scale value="5" unit="uV"/><digits>{digits}</digits></value></sequence></component>"""
+TAIL = """
+    </sequenceSet></component>
+  </series></component>
+</AnnotatedECG>"""
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def _filled(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
 
 
 def write_annotated(rows: DataFrame, maker: str = "stripchart") -> DataFrame:
-    """ecg_id, xml: annotated ECG from channel rows; all leads padded with 0 to the longest, the
-    subject anonymous, times those of 1970 so that a rerun writes the same."""
+    """ecg_id, xml: annotated ECG from channel rows (ecg_id, pos, name, samples, sample_rate_hz);
+    all leads padded with 0 to the longest, the subject anonymous, times from the start of 1970 so
+    that a rerun writes the same."""
     from pyspark.sql import Window
 
     longest = F.max(F.size("samples")).over(Window.partitionBy("ecg_id"))
-    coded = rows.withColumn("_n", longest).withColumn("digits", codec.hl7_digits("samples", "_n"))
-    whole = _gathered(coded.select("ecg_id", "pos", mdc_sequence(F.col("name"), F.col("digits")).alias("text"), F.col("sample_rate_hz").alias("rate")))
-    step = F.format_string("%.8f", 1.0 / F.when(F.col("rate") > 0, F.col("rate")).otherwise(500))
-    head = F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<AnnotatedECG xmlns="urn:hl7-org:v3" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="urn:hl7-org:v3 ../schema/PORT_MT020001.xsd" classCode="OBS" moodCode="EVN" type="Observation">\n<id extension="'),
-        xml_escaped(F.col("ecg_id").cast("string")),
-        F.lit('"/><code code="93000" codeSystem="2.16.840.1.113883.6.12" codeSystemName="CPT-4"/>\n<component><series classCode="OBSSER" moodCode="EVN"><code code="RHYTHM" codeSystem="2.16.840.1.113883.5.4"/><author><seriesAuthor><manufacturerOrganization><name>'),
-        xml_escaped(F.lit(maker)),
-        F.lit('</name></manufacturerOrganization></seriesAuthor></author>\n<component><sequenceSet><component><sequence><code code="TIME_ABSOLUTE" codeSystem="2.16.840.1.113883.5.4"/><value xsi:type="GLIST_TS"><head value="19700101000000" unit="s"/><increment value="'),
-        step,
-        F.lit('" unit="s"/></value></sequence></component>\n'),
-    )
-    return whole.select("ecg_id", F.concat(head, F.array_join("texts", "\n"), F.lit("\n</sequenceSet></component></series></component></AnnotatedECG>")).alias("xml"))
+    coded = rows.withColumn("_n", longest)
+    text = _filled(SEQUENCE, code=mdc_code(F.col("name")), digits=codec.hl7_digits("samples", "_n"))
+    parts = coded.select("ecg_id", "pos", text.alias("text"), F.col("sample_rate_hz").alias("rate"), "_n")
+    whole = parts.groupBy("ecg_id").agg(F.max("rate").alias("rate"), F.max("_n").alias("_n"), arrays.in_order("pos", "text").alias("texts"))
+    rate = F.when(F.col("rate") > 0, F.col("rate")).otherwise(500)
+    time = lambda seconds: F.date_format(F.timestamp_seconds(seconds), "yyyyMMddHHmmss")
+    head = _filled(HEAD, id=xml_escaped(F.col("ecg_id").cast("string")), low=time(F.lit(0)), high=time(F.col("_n") / rate), maker=xml_escaped(F.lit(maker)), step=F.format_string("%.8f", 1.0 / rate))
+    return whole.select("ecg_id", F.concat(head, F.array_join("texts", "\n"), F.lit(TAIL)).alias("xml"))

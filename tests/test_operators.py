@@ -110,7 +110,7 @@ def test_waveform_xml(spark):
     read = {r["name"]: r["samples"] for r in waveform_xml.channels(written).collect()}
     assert all(abs(a - b) <= 0.00025 + 1e-12 for a, b in zip(read["I"], [0.1, -0.2, 0.30012])) and read["II"][1] == 16.3835
     assert np.allclose(read["III"], np.subtract(read["II"], read["I"])) and np.allclose(read["aVR"], -np.add(read["I"], read["II"]) / 2)
-    longer = {r["name"]: r["samples"] for r in waveform_xml.longer_rhythm(waveform_xml.channels(written)).collect()}
+    longer = {r["name"]: r["samples"] for r in waveform_xml.longer_rhythm(waveform_xml.channels(written), written).collect()}
     assert len(longer["II"]) == 5 and waveform_xml.sample_base(written).first()["sample_rate_hz"] == 500
     odd = spark.createDataFrame([("a", "<R><Waveform><WaveformType>rHyThM</WaveformType><LeadData><LeadID>I</LeadID><LeadAmplitudeUnitsPerBit>2</LeadAmplitudeUnitsPerBit><WaveFormData>AQA=</WaveFormData></LeadData><LeadData><LeadID>I</LeadID><LeadAmplitudeUnitsPerBit>1000</LeadAmplitudeUnitsPerBit><WaveFormData>AgD/\n/w==</WaveFormData></LeadData></Waveform><Waveform><WaveformType>Median</WaveformType><LeadData><LeadID>V1</LeadID></LeadData></Waveform></R>")], "ecg_id string, xml string")
     assert [(r["name"], r["samples"]) for r in waveform_xml.channels(odd).collect()] == [("I", [2.0, -1.0])]
