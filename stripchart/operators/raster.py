@@ -146,3 +146,31 @@ def composed(images: DataFrame, apply) -> DataFrame:
             yield frame.assign(map_x=pd.Series([p[0] for p in pairs], index=frame.index), map_y=pd.Series([p[1] for p in pairs], index=frame.index))
 
     return images.mapInPandas(run, images.schema)
+
+
+# --- fixed values: classes of a page's masks; leads follow from 2 on ------------------------------
+CLASSES = {"grid_combined": 1, "reference_pulse": 14, "lead_labels": 15, "medical_text": 16, "black_square": 17, "etiquette": 18, "handwriting": 19}
+GRID_PARTS, FIRST_LEAD, SIGNAL_MASK, ALL_SIGNALS = ["grid_major", "grid_minor"], 2, "signal_", "signal_all"
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def multiclass(pixels: DataFrame, keys: list[str], mask: str = "mask") -> DataFrame:
+    """Pixels of named masks (keys, mask, y, x, value) by class, 1 to 19, merged over the segments
+    of a lead; parts of the grid count where the page has no whole one; unknown masks drop."""
+    name = F.col(mask)
+    lead = F.when(name.startswith(SIGNAL_MASK) & (name != ALL_SIGNALS), channel_class(F.expr(f"substring({mask}, {len(SIGNAL_MASK) + 1})")) + FIRST_LEAD)
+    known = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))[name]
+    whole = pixels.where(name == "grid_combined").select(*keys).distinct().withColumn("_whole", F.lit(True))
+    part = F.when(name.isin(GRID_PARTS) & F.col("_whole").isNull(), CLASSES["grid_combined"])
+    classed = pixels.join(whole, keys, "left").withColumn("class", F.coalesce(known, lead, part)).where("class is not null")
+    return merged(classed.select(*keys, "class", "y", "x", "value"), [*keys, "class"])
+
+
+def background(foreground: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, y, xs: the columns of each line of pages (keys, width, height) in which no class has a
+    value; a line is bounded by the page's width."""
+    lines = pages.select(*keys, "width", F.explode(F.expr("sequence(0, cast(height as int) - 1)")).alias("y"))
+    taken = foreground.where("value > 0").groupBy(*keys, "y").agg(F.collect_set("x").alias("_taken"))
+    every = F.expr("sequence(0, cast(width as int) - 1)")
+    free = F.when(F.col("_taken").isNull(), every).otherwise(F.array_except(every, "_taken"))
+    return lines.join(taken, [*keys, "y"], "left").select(*keys, "y", free.alias("xs"))

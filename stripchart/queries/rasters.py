@@ -57,3 +57,54 @@ def q_sessions(spark, sf_dir):
 def q_binary_pixels(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.select("p_partkey", raster.binary(F.col("p_size") * 5, F.col("p_partkey") % 256, F.lit(100)).alias("pixel"))
+
+
+_MASKS = ["grid_major", "grid_minor", "grid_combined", "signal_I", "signal_I_seg2", "signal_V6_extra", "signal_all", "lead_labels", "medical_text", "black_square", "reference_pulse", "etiquette", "handwriting", "other"]
+_MASKS_SQL = f"""m as (select user_id % 7 as page, {_MASKS!r}[event_id % {len(_MASKS)} + 1] as mask, cast(floor(value / 20) as integer) as y, cast(event_id % 37 as integer) as x, cast(floor(value) % 256 as integer) as value from events),
+k as (select * from m where not (page % 2 = 0 and mask = 'grid_combined')),
+w as (select distinct page from k where mask = 'grid_combined'),
+c as (select page, case mask when 'grid_combined' then 1 when 'reference_pulse' then 14 when 'lead_labels' then 15 when 'medical_text' then 16 when 'black_square' then 17 when 'etiquette' then 18 when 'handwriting' then 19 when 'signal_I' then 2 when 'signal_I_seg2' then 2 when 'signal_V6_extra' then 13
+ when 'grid_major' then case when page not in (select page from w) then 1 end when 'grid_minor' then case when page not in (select page from w) then 1 end end as class, y, x, value from k)"""
+
+
+def _masks(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _MASKS)), (F.col("event_id") % len(_MASKS) + 1).cast("int"))
+    pixels = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("page"), name.alias("mask"), F.floor(F.col("value") / 20).cast("int").alias("y"), (F.col("event_id") % 37).cast("int").alias("x"), (F.floor("value") % 256).cast("int").alias("value"))
+    return raster.multiclass(pixels.where("not (page % 2 = 0 and mask = 'grid_combined')"), ["page"])
+
+
+@query(f"with {_MASKS_SQL} select page, class, y, x, max(value) as value from c where class is not null group by all")
+def q_multiclass(spark, sf_dir):
+    """Masks of pages by class; half of the pages have their grid in parts."""
+    return _masks(spark, sf_dir)
+
+
+@query(f"""with {_MASKS_SQL}, f as (select distinct page, y, x from c where class is not null and value > 0), l as (select distinct user_id % 7 as page from events), g as (select page, unnest(range(30)) as y from l), p as (select page, y, unnest(range(40)) as x from g)
+select p.page, cast(p.y as integer) as y, count(*) filter (f.x is null) as free, coalesce(sum(p.x) filter (f.x is null), 0)::bigint as total from p left join f on p.page = f.page and p.y = f.y and p.x = f.x group by 1, 2""")
+def q_background(spark, sf_dir):
+    """What no class of a page covers, line by line."""
+    pages = table(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("page"), F.lit(40).alias("width"), F.lit(30).alias("height")).distinct()
+    free = raster.background(_masks(spark, sf_dir), pages, ["page"])
+    return free.select("page", "y", F.size("xs").cast("bigint").alias("free"), F.expr("aggregate(xs, 0L, (a, x) -> a + x)").alias("total"))
+
+
+@query("""with p as (select user_id % 5 as page, ['I', 'II_seg2', 'V1_extra', 'none'][event_id % 4 + 1] as name, value / 9 - 4 as x, event_id % 70 - 5.5 as y from events),
+k as (select page, case name when 'I' then 0 when 'II_seg2' then 1 when 'V1_extra' then 6 end as class, cast(floor(x) as integer) as x, cast(floor(y) as integer) as y from p),
+i as (select distinct * from k where class is not null and x between 0 and 39 and y between 0 and 49)
+select page, class, y, x, case when (x + y + class) % 2 = 0 then 255 end as red from i""")
+def q_class_overlay(spark, sf_dir):
+    """Points on the page by the class of their channel, and the full ones as an overlay."""
+    name = F.element_at(F.array(*map(F.lit, ["I", "II_seg2", "V1_extra", "none"])), (F.col("event_id") % 4 + 1).cast("int"))
+    points = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("page"), name.alias("name"), (F.col("value") / 9 - 4).alias("x"), (F.col("event_id") % 70 - 5.5).alias("y"))
+    pixels = raster.inside(points, 40, 50).withColumn("value", F.when((F.col("x") + F.col("y") + raster.channel_class(F.col("name"))) % 2 == 0, 255).otherwise(100))
+    return raster.overlay(raster.classes(pixels, ["page"]), ["page", "class"]).select("page", "class", "y", "x", F.col("rgb")[0].alias("red"))
+
+
+@query("""with i as (select p_partkey, 5 + p_size % 4 as w, 4 + p_partkey % 3 as h, cast(p_size as double) as d from part), p as (select *, unnest(range(w * h)) as pos from i)
+select p_partkey, pos, pos % w + d as x, (pos // w) * 2.0 + 1 as y from p""")
+def q_composed_maps(spark, sf_dir):
+    """Coordinate maps that leave all where it is, with a function run over them."""
+    images = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4 + 5).cast("int").alias("width"), (F.col("p_partkey") % 3 + 4).cast("int").alias("height"), F.col("p_size").cast("double").alias("d"))
+    made = raster.composed(raster.identity_maps(images), lambda x, y: (x, 2 * y + 1))
+    each = made.select("p_partkey", "d", F.posexplode(F.arrays_zip("map_x", "map_y")).alias("pos", "z"))
+    return each.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), (F.col("z.map_x") + F.col("d")).alias("x"), F.col("z.map_y").alias("y"))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from stripchart.functions import streams, text
 from stripchart.functions.arrays import in_order
-from stripchart.operators import checks, layout, sampling, verify
+from stripchart.operators import checks, layout, match, sampling, verify
+from stripchart.queries.drawings import drawn
 from stripchart.queries.registry import query, rounded, samples, table
 from stripchart.queries.texts import _LABELS, _sql_patterns
-from stripchart.sources import waveform_xml, writers
+from stripchart.sources import files, stored, waveform_xml, writers
 
 _POINTS_SQL = """m as (select l_orderkey as page, l_returnflag as lead, l_linenumber as sample, l_extendedprice / 20000 as mv, 500.0 as base, 500 - l_extendedprice / 20000 * 120 - (l_orderkey % 15 - 7) as y from lineitem),
 e as (select *, mv * 10 as expected, (base - y) / 12 as actual, (base - y) / 12 - mv * 10 as error from m)"""
@@ -278,3 +279,60 @@ def q_grid_area(spark, sf_dir):
     even = k % 2 == 0
     area = layout.grid_area(F.when(n % 3 == 0, "full_grid").otherwise("with_text_zones"), F.when(even, 3564.0).otherwise(3352.0), F.when(even, 2520.0).otherwise(2590.0), n % 12 + 1, squares, n % 6 * 4 + 12)
     return rounded(table(spark, sf_dir, "part").select("p_partkey", area.alias("a")).select("p_partkey", "a.*"), "x", "y", "most_spacing_mm")
+
+
+
+@query("""with e as (select vec_id, vec_id % 9 <> 4 as ok, len(embedding) as n, list_sum(list_transform(embedding, lambda x: floor(x * 1000))) as total from embeddings)
+select vec_id, ok as readable, case when ok then n || 'x1' end as shape, case when ok then total end as total, case when ok then case when vec_id % 3 = 0 then 1 else 2 end end as arrays, case when ok then case when vec_id % 3 = 0 then 22 else 21 end end as missing from e""")
+def q_stored_arrays(spark, sf_dir):
+    """Arrays written to archives and read back; every ninth archive is damaged. An archive lacks
+    the keys of a page, but for a signal and, in two of three, the speed."""
+    v = F.col("vec_id")
+    # whole numbers as text, one a line: bytes that Spark can make, of type S6
+    lines = F.expr("array_join(transform(embedding, x -> lpad(cast(cast(floor(x * 1000) as int) as string), 6, ' ')), '')")
+    entry = lambda name, dtype, shape, data: F.struct(F.lit(name).alias("name"), F.lit(dtype).alias("dtype"), shape.cast("array<int>").alias("shape"), data.cast("binary").alias("data"))
+    signal = entry("signal_I", "S6", F.array(F.size("embedding"), F.lit(1)), lines)
+    speed = entry("speed_mm_per_s", "S2", F.expr("cast(array() as array<int>)"), F.lit("25"))
+    made = table(spark, sf_dir, "embeddings").select("vec_id", F.when(v % 3 == 0, F.array(signal)).otherwise(F.array(signal, speed)).alias("e"))
+    content = made.withColumn("content", stored.packed("e")).withColumn("content", F.when(v % 9 == 4, F.expr("substr(content, 1, 40)")).otherwise(F.col("content")))
+    read = content.withColumn("u", stored.unpacked("content")).select("vec_id", "u.entries", "u.error").withColumn("d", stored.described("entries"))
+    first = F.expr("filter(entries, e -> e.name = 'signal_I')[0]")
+    data = F.expr("decode(f.data, 'US-ASCII')")
+    numbers = F.transform(F.sequence(F.lit(0), F.element_at("f.shape", 1) - 1), lambda i: F.trim(F.substring(data, i * 6 + 1, F.lit(6))).cast("double"))
+    shown = read.withColumn("f", first)
+    return shown.select(
+        "vec_id", F.col("error").isNull().alias("readable"), F.array_join(F.col("f.shape").cast("array<string>"), "x").alias("shape"), F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x).alias("total"),
+        F.when(F.col("error").isNull(), F.size("entries")).alias("arrays"), F.when(F.col("error").isNull(), F.size(stored.missing_keys("d"))).alias("missing"),
+    )
+
+
+@query("select doc_id, md5(text) as digest, octet_length(encode(text)) as bytes, doc_id % 5 = 0 as damaged from documents where text is not null")
+def q_deflated_streams(spark, sf_dir):
+    """Texts deflated and inflated again; a stream that is cut has none."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("b"))
+    made = docs.select("doc_id", stored.deflated(F.col("b")).alias("z")).withColumn("part", F.when(F.col("doc_id") % 5 == 0, F.expr("substr(z, 1, length(z) - 3)")).otherwise(F.col("z")))
+    read = made.select("doc_id", stored.inflated(F.col("z")).alias("t"), stored.inflated(F.col("part")).isNull().alias("damaged"))
+    return read.select("doc_id", F.md5("t").alias("digest"), F.octet_length("t").cast("bigint").alias("bytes"), "damaged")
+
+
+@query("""with n as (select *, unnest(['I', 'aVR', 'V6', 'X', 'V1']) as name from (select n_nationkey from nation)), p as (select *, case name when 'I' then 0 when 'aVR' then 3 when 'V1' then 6 when 'V6' then 11 else 99 end as place from n)
+select n_nationkey, string_agg(name, ',' order by place) as leads from p group by n_nationkey""")
+def q_lead_order(spark, sf_dir):
+    """Channels in the standard order of their leads, others last."""
+    each = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*map(F.lit, ["V1", "X", "V6", "aVR", "I"]))).alias("name"))
+    return each.withColumn("place", match.lead_order(F.col("name"))).groupBy("n_nationkey").agg(F.array_join(in_order("place", "name"), ",").alias("leads"))
+
+
+@query("""with c as (select s_suppkey, cast(s_suppkey as double) as x, cast(s_nationkey as double) as y, unnest([0, 12, 12, 48, 48, 60]) as dx, unnest([0, 0, 120, 120, 0, 0]) as dy, unnest(range(6)) as pos from supplier) select s_suppkey, pos, x + dx as x, y + dy as y from c""")
+def q_pulse_corners(spark, sf_dir):
+    """The corners of calibration pulses."""
+    base = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    each = base.select("s_suppkey", F.posexplode(layout.pulse_points("x", "y")).alias("pos", "p"))
+    return rounded(each.select("s_suppkey", F.col("pos").cast("bigint").alias("pos"), "p.x", "p.y"), "x", "y")
+
+
+@query("""with p as (select cast(s_suppkey as bigint) as page_id, [200, 100, 60][s_suppkey % 3 + 1] as n from supplier), c as (select page_id, case when page_id % 7 = 5 then 0 else 92 * 2 end + case when page_id % 7 = 3 then 0 else 12 * n end as k from p)
+select page_id, cast(k as bigint) as vector_ops, k >= 50 as drawn from c""")
+def q_vector_operations(spark, sf_dir):
+    """How much is drawn on pages, and whether they count as drawn records."""
+    return files.vector_operations(drawn(spark, sf_dir)[0], ["page_id"])
