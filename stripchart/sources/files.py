@@ -42,7 +42,7 @@ def file_kind(content: str) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, id (file stem), length, kind of the files under a path."""
+    """path, id (file stem), length, kind of the files under a path; Spark leaves empty ones out."""
     files = spark.read.format("binaryFile").load(path)
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return files.select("path", stem.alias("id"), "length", file_kind("content").alias("kind"), F.expr(f"substr(content, 1, {HEAD})").alias("head"))
