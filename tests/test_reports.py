@@ -129,8 +129,8 @@ def test_background_of_an_empty_page(spark):
 
 
 def test_rotation_needs_most_traces(spark):
-    rising = [{"x": 40.0 * (i % 2), "y": float(i)} for i in range(60)]
-    level = [{"x": float(i), "y": 40.0 * (i % 2)} for i in range(60)]
+    rising = [{"x": 40.0 * (i % 2), "y": 5.0 * i} for i in range(60)]
+    level = [{"x": 5.0 * i, "y": 40.0 * (i % 2)} for i in range(60)]
     rows = [(1, i, rising) for i in range(5)] + [(2, i, rising if i < 3 else level) for i in range(6)] + [(3, i, rising) for i in range(3)]
     lines = spark.createDataFrame(rows, "page_id int, poly_id int, pts array<struct<x:double,y:double>>").select("*", *(F.lit(0.0).alias(c) for c in "rgb"), F.lit(60).alias("n"))
     found = {r["page_id"]: r["rotation"] for r in geometry.rotation_scores(geometry.rotation_candidates(lines, ["page_id"], "poly_id"), ["page_id"]).collect()}
