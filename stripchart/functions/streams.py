@@ -105,3 +105,31 @@ def redacted(cut: Column, mode: str) -> Column:
 def audit(cut: Column) -> Column:
     """All texts that a stream shows."""
     return F.transform(F.filter(cut, lambda p: p["shown"].isNotNull()), lambda p: p["shown"])
+
+
+# --- fixed values: entries of a document that name persons or programs -----------------------------
+BLANKED = ["Title", "Author", "Subject", "Keywords", "Producer", "Creator"]
+REMOVED = ["CreationDate", "ModDate"]
+REMOVED_FROM_CATALOG, REMOVED_FROM_PAGE = ["Metadata"], ["Annots"]
+# --- end of fixed values -----------------------------------------------------------------------
+
+
+def without_metadata(info: Column) -> Column:
+    """A document's entries (a map): some blank, whether they were there or not, dates gone."""
+    kept = F.map_filter(F.coalesce(info, F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin(*BLANKED, *REMOVED))
+    return F.map_concat(kept, F.create_map(*(x for k in BLANKED for x in (F.lit(k), F.lit("")))))
+
+
+def without_entries(entries: Column, names: list[str]) -> Column:
+    """A dictionary (a map) without some entries; null stays null."""
+    return F.map_filter(entries, lambda k, v: ~k.isin(*names))
+
+
+def without_images(stream: Column, images: Column) -> Column:
+    """The stream without the draws of the named images (an array of names with their slash): the
+    name, white space, and Do as a word."""
+    def taken_out(left: Column, name: Column) -> Column:
+        literal = F.regexp_replace(name, r"([.*+?^${}()|\[\]\\/-])", r"\\$1")
+        return F.regexp_replace(left, F.concat(literal, F.lit(r"[ \t\n\x0B\f\r]+Do(?![A-Za-z0-9_])")), F.lit(""))
+
+    return F.aggregate(images, stream, taken_out)

@@ -59,6 +59,23 @@ SPEED_GAIN = {
     "italian": "Vel.: {s} mm/s   Guad.: {g} mm/mV",
     "portuguese": "Vel.: {s} mm/s   Ganho: {g} mm/mV",
 }
+#: Dates by language; {d}, {m} and {y} stand for day, month (two digits each) and year.
+DATES = {
+    "en": ["{d}/{m}/{y}", "{m}/{d}/{y}", "{y}-{m}-{d}"],
+    "fr": ["{d}/{m}/{y}", "{d}.{m}.{y}"],
+    "de": ["{d}.{m}.{y}", "{y}-{m}-{d}"],
+    "es": ["{d}/{m}/{y}", "{d}-{m}-{y}"],
+    "pt": ["{d}/{m}/{y}"],
+    "it": ["{d}/{m}/{y}"],
+    "tr": ["{d}.{m}.{y}", "{d}/{m}/{y}"],
+    "zh": ["{y}年{m}月{d}日", "{y}/{m}/{d}"],
+    "ja": ["{y}年{m}月{d}日", "{y}/{m}/{d}"],
+    "ko": ["{y}년 {m}월 {d}일", "{y}.{m}.{d}"],
+    "ar": ["{d}/{m}/{y}", "{y}/{m}/{d}"],
+    "ru": ["{d}.{m}.{y}"],
+    "el": ["{d}/{m}/{y}"],
+    "hi": ["{d}/{m}/{y}"],
+}
 SPEED_GAIN_OTHER = "{s}mm/s   {g}mm/mV"
 # --- end of fixed values -----------------------------------------------------------------------
 
@@ -164,3 +181,14 @@ def speed_gain(speed: Column, gain: Column, form: Column, blank: Column) -> Colu
     for mark, value in (("{s}", number), ("{g}", gain.cast("int").cast("string")), ("{_}", blank)):
         line = F.replace(line, F.lit(mark), value)
     return line
+
+
+def local_date(at: Column, language: Column, pick: Column) -> Column:
+    """A date in one of its language's forms (English where the language has none); `pick`, any
+    whole number, chooses among them."""
+    forms = F.create_map(*(x for lang, known in DATES.items() for x in (F.lit(lang), F.array(*map(F.lit, known)))))
+    known = F.coalesce(forms[language], F.array(*map(F.lit, DATES["en"])))
+    out = F.element_at(known, (F.pmod(pick, F.size(known)) + 1).cast("int"))
+    for mark, form in (("{d}", "dd"), ("{m}", "MM"), ("{y}", "yyyy")):
+        out = F.replace(out, F.lit(mark), F.date_format(at, form))
+    return out

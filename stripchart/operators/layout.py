@@ -248,3 +248,34 @@ def grid_area(style: Column, width: Column, height: Column, rows: Column, square
     spacing = F.greatest(F.lit(10.0), F.least(F.lit(25.0), (h - 20 * px) / rows / px))
     pick = lambda own, full: F.when(zoned, own).otherwise(full).cast("double")
     return F.struct(pick(x, F.lit(0)).alias("x"), pick(y, F.lit(0)).alias("y"), pick(w, width).alias("width"), pick(h, height).alias("height"), pick(spacing, F.lit(30)).alias("most_spacing_mm"))
+
+
+#: Pixels around a rendered page in its image.
+BORDER = 4
+
+
+def image_point(x: Column, y: Column, width: Column, height: Column, border: int = BORDER) -> tuple[Column, Column]:
+    """A point of a page (y upward) in its image (y downward), which is half a pixel wider in its
+    scale and has a border. width, height: of the page without the border."""
+    scale = lambda size: (size + 0.5) / size
+    return x * scale(width) + border, height - y * scale(height) + border
+
+
+def image_line(at: Column, size: Column, upward: bool, border: int = BORDER) -> Column:
+    """A grid line's place in the image: whole pixels, within the content."""
+    placed = F.rint(at) * (size + 0.5) / size
+    return F.rint(F.least(F.greatest(size - placed + border if upward else placed + border, F.lit(float(border))), size + border - 1))
+
+
+def lattice_lines(length: Column, origin: Column | None = None, px: float = PX_PER_MM) -> tuple[Column, Column]:
+    """(major, minor) places of lines 5 mm and 1 mm apart over a length: with an origin a major line
+    passes through it, else whole squares lie in the middle. Minor lines on major ones are left out."""
+    square = 5 * px
+    whole = F.floor(length / square) * square
+    start = (length - whole) / 2 if origin is None else origin - F.floor(origin / square) * square
+    end = start + whole if origin is None else length
+    first = start if origin is None else start - F.floor(start / px) * px
+    places = lambda a, b, step: F.transform(F.sequence(F.lit(0), F.floor((b - a) / step).cast("int")), lambda i: (a + i * step).cast("double"))
+    major, minor = places(start, end, square), places(first, end, px)
+    taken = F.transform(major, lambda v: F.rint(v))
+    return major, F.filter(minor, lambda v: ~F.array_contains(taken, F.rint(v)))

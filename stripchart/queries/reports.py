@@ -336,3 +336,60 @@ select page_id, cast(k as bigint) as vector_ops, k >= 50 as drawn from c""")
 def q_vector_operations(spark, sf_dir):
     """How much is drawn on pages, and whether they count as drawn records."""
     return files.vector_operations(drawn(spark, sf_dir)[0], ["page_id"])
+
+
+@query("select o_orderkey, case when o_orderkey % 4 <> 1 and o_orderkey % 6 > 0 then round(o_orderkey % 6 * 1000 / (o_orderkey % 4 * 125 + 250.0), 6) end as duration_s from orders")
+def q_source_duration(spark, sf_dir):
+    """Real durations by the documents' sample bases, some of which are none."""
+    o = F.col("o_orderkey")
+    base = F.when(o % 4 == 1, "fast").otherwise((o % 4 * 125 + 250).cast("string"))
+    documents = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("<R><SampleBase>"), base, F.lit("</SampleBase><W><SampleBase>1</SampleBase></W></R>")).alias("xml"), (o % 6 * 1000).alias("n"))
+    return rounded(waveform_xml.source_duration(documents, "n").select("o_orderkey", "duration_s"), "duration_s")
+
+
+@query("""select c_custkey, 'Author=,Creator=,Kept=' || c_mktsegment || ',Keywords=,Producer=,Subject=,Title=' as info, case when c_custkey % 3 = 0 then null else 'Rotate=90' end as page,
+ 'q /Im10 Do Q /Fm' || c_custkey || ' Do  /Im1Do ' || case when c_custkey % 2 = 0 then '' else '/Im$.' || c_custkey || chr(10) || 'Do' end || ' /Im1 Dot' as stream from customer""")
+def q_without_metadata(spark, sf_dir):
+    """Documents without what names persons or programs: entries, annotations, draws of images."""
+    k = F.col("c_custkey")
+    info = F.create_map(F.lit("Author"), F.col("c_name"), F.lit("ModDate"), F.lit("D:2020"), F.lit("Kept"), F.col("c_mktsegment"))
+    page = F.when(k % 3 != 0, F.create_map(F.lit("Annots"), F.lit("x"), F.lit("Rotate"), F.lit("90")))
+    stream = F.concat(F.lit("q /Im10 Do Q /Fm"), k.cast("string"), F.lit(" Do /Im1 Do /Im1Do /Im$."), k.cast("string"), F.lit("\nDo /Im1 Dot"))
+    images = F.when(k % 2 == 0, F.array(F.lit("/Im1"), F.concat(F.lit("/Im$."), k.cast("string")))).otherwise(F.array(F.lit("/Im1")))
+    line = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return table(spark, sf_dir, "customer").select("c_custkey", line(streams.without_metadata(info)).alias("info"), line(streams.without_entries(page, streams.REMOVED_FROM_PAGE)).alias("page"), streams.without_images(stream, images).alias("stream"))
+
+
+@query("""select o_orderkey, case o_orderkey % 6 when 0 then [strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%m/%d/%Y'), strftime(o_orderdate, '%Y-%m-%d')][o_orderkey % 5 % 3 + 1] when 1 then [strftime(o_orderdate, '%d.%m.%Y'), strftime(o_orderdate, '%Y-%m-%d')][o_orderkey % 5 % 2 + 1]
+ when 2 then [strftime(o_orderdate, '%Y年%m月%d日'), strftime(o_orderdate, '%Y/%m/%d')][o_orderkey % 5 % 2 + 1] when 3 then [strftime(o_orderdate, '%Y년 %m월 %d일'), strftime(o_orderdate, '%Y.%m.%d')][o_orderkey % 5 % 2 + 1] when 4 then strftime(o_orderdate, '%d.%m.%Y')
+ else [strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%m/%d/%Y'), strftime(o_orderdate, '%Y-%m-%d')][o_orderkey % 5 % 3 + 1] end as day from orders""")
+def q_local_dates(spark, sf_dir):
+    """Dates in the forms of their languages."""
+    o = F.col("o_orderkey")
+    language = F.element_at(F.array(*map(F.lit, ["en", "de", "zh", "ko", "ru", "unknown"])), (o % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.local_date(F.col("o_orderdate"), language, o % 5).alias("day"))
+
+
+@query("""with p as (select p_partkey, 3000.0 + p_size as w, 2000.0 + p_partkey % 90 as h, p_size * 31.3 as x, p_partkey % 977 * 1.7 as y from part)
+select p_partkey, round(x * ((w + 0.5) / w) + 4, 6) as x, round(h - y * ((h + 0.5) / h) + 4, 6) as y, round_even(least(greatest(round_even(x, 0) * (w + 0.5) / w + 4, 4), w + 3), 0) as line_x, round_even(least(greatest(h - round_even(y, 0) * (h + 0.5) / h + 4, 4), h + 3), 0) as line_y from p""")
+def q_image_points(spark, sf_dir):
+    """Points and lines of pages in their images."""
+    pages = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") + 3000.0).alias("w"), (F.col("p_partkey") % 90 + 2000.0).alias("h"), (F.col("p_size") * 31.3).alias("x"), (F.col("p_partkey") % 977 * 1.7).alias("y"))
+    x, y = layout.image_point(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
+    return rounded(pages.select("p_partkey", x.alias("x"), y.alias("y"), layout.image_line(F.col("x"), F.col("w"), False).alias("line_x"), layout.image_line(F.col("y"), F.col("h"), True).alias("line_y")), "x", "y")
+
+
+@query("""with p as (select p_partkey, 500.0 + p_size as n, p_size % 2 = 0 as anchored, cast(p_partkey % 83 as double) as origin from part),
+s as (select *, case when anchored then origin - floor(origin / 60) * 60 else (n - floor(n / 60) * 60) / 2 end as start, case when anchored then n else (n - floor(n / 60) * 60) / 2 + floor(n / 60) * 60 end as stop from p),
+f as (select *, case when anchored then start - floor(start / 12) * 12 else start end as first from s),
+j as (select p_partkey, start + unnest(range(cast(floor((stop - start) / 60) as bigint) + 1)) * 60 as v from s), m as (select p_partkey, first + unnest(range(cast(floor((stop - first) / 12) as bigint) + 1)) * 12 as v from f),
+o as (select m.* from m where not exists (select 1 from j where j.p_partkey = m.p_partkey and round_even(j.v, 0) = round_even(m.v, 0)))
+select p_partkey, (select count(*) from j where j.p_partkey = p.p_partkey) as major, (select round(sum(v), 4) from j where j.p_partkey = p.p_partkey) as major_sum, (select count(*) from o where o.p_partkey = p.p_partkey) as minor, (select round(sum(v), 4) from o where o.p_partkey = p.p_partkey) as minor_sum from p""")
+def q_lattice_lines(spark, sf_dir):
+    """Fine and coarse lines of pages, centred or anchored."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_size") + 500.0).alias("n"), (F.col("p_partkey") % 83).cast("double").alias("origin"))
+    centred, anchored = layout.lattice_lines(F.col("n")), layout.lattice_lines(F.col("n"), F.col("origin"))
+    choose = lambda i: F.when(F.col("p_size") % 2 == 0, anchored[i]).otherwise(centred[i])
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
+    lines = part.select("p_partkey", choose(0).alias("j"), choose(1).alias("m"))
+    return lines.select("p_partkey", F.size("j").cast("bigint").alias("major"), total("j").alias("major_sum"), F.size("m").cast("bigint").alias("minor"), total("m").alias("minor_sum"))

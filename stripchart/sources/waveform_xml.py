@@ -49,6 +49,13 @@ def sample_base(documents: DataFrame) -> DataFrame:
     return documents.select("ecg_id", F.expr("try_cast(xpath_string(xml, '//SampleBase') as int)").alias("sample_rate_hz"))
 
 
+def source_duration(documents: DataFrame, samples: str) -> DataFrame:
+    """documents with duration_s: the number of samples (a column) over the first sample base; null
+    where either is not positive or cannot be read."""
+    rate = F.expr("try_cast(xpath_string(xml, '//SampleBase') as double)")
+    return documents.withColumn("duration_s", F.when((rate > 0) & (F.col(samples) > 0), F.col(samples) / rate))
+
+
 def rhythm_strip(documents: DataFrame) -> DataFrame:
     """ecg_id, samples of the first channel, by its position, whose name ends as a rhythm strip's,
     in either case, and which has a gain and data."""
