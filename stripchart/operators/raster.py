@@ -30,19 +30,20 @@ def dots(points: DataFrame, keys: list[str], width: int, height: int, radius: in
     """Points as cones of a radius in pixels: 255 in the middle, falling evenly to the rim."""
     offsets = [(dx, dy, round(255 * (1 - (dx * dx + dy * dy) ** 0.5 / (radius + 1)))) for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
     kernel = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(v).alias("v")) for dx, dy, v in offsets))
-    spread = points.select(*keys, F.floor("x").cast("int").alias("px"), F.floor("y").cast("int").alias("py"), F.explode(kernel).alias("k"))
-    pixels = spread.select(*keys, (F.col("py") + F.col("k.dy")).alias("y"), (F.col("px") + F.col("k.dx")).alias("x"), F.col("k.v").alias("value"))
+    spread = points.select(*keys, F.floor("x").cast("int").alias("_px"), F.floor("y").cast("int").alias("_py"), F.explode(kernel).alias("_k"))
+    pixels = spread.select(*keys, (F.col("_py") + F.col("_k.dy")).alias("y"), (F.col("_px") + F.col("_k.dx")).alias("x"), F.col("_k.v").alias("value"))
     return merged(pixels.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)), keys)
 
 
 def strokes(lines: DataFrame, keys: list[str], width: int, height: int, thickness: int = 1, pts: str = "pts") -> DataFrame:
     """Polylines as pixels of 255: each segment in steps of at most a pixel, as thick as asked."""
-    segments = lines.where(F.size(pts) > 1).select(*keys, F.explode(F.expr(f"transform(sequence(1, size({pts}) - 1), i -> struct({pts}[i - 1] as a, {pts}[i] as b))")).alias("s"))
-    steps = segments.select(*keys, "s", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("s.b.x") - F.col("s.a.x")), F.abs(F.col("s.b.y") - F.col("s.a.y"))))).cast("int").alias("n")).withColumn("i", F.explode(F.expr("sequence(0, n)")))
-    at = lambda axis: F.col(f"s.a.{axis}") + (F.col(f"s.b.{axis}") - F.col(f"s.a.{axis}")) * F.col("i") / F.col("n")
-    centre = steps.select(*keys, F.rint(at("x")).cast("int").alias("cx"), F.rint(at("y")).cast("int").alias("cy")).distinct()
+    segments = lines.where(F.size(pts) > 1).select(*keys, F.explode(F.expr(f"transform(sequence(1, size({pts}) - 1), i -> struct({pts}[i - 1] as a, {pts}[i] as b))")).alias("_s"))
+    long = F.greatest(F.abs(F.col("_s.b.x") - F.col("_s.a.x")), F.abs(F.col("_s.b.y") - F.col("_s.a.y")))
+    steps = segments.select(*keys, "_s", F.greatest(F.lit(1), F.ceil(long)).cast("int").alias("_n")).withColumn("_i", F.explode(F.expr("sequence(0, _n)")))
+    at = lambda axis: F.col(f"_s.a.{axis}") + (F.col(f"_s.b.{axis}") - F.col(f"_s.a.{axis}")) * F.col("_i") / F.col("_n")
+    centre = steps.select(*keys, F.rint(at("x")).cast("int").alias("_cx"), F.rint(at("y")).cast("int").alias("_cy")).distinct()
     low, high = -((thickness - 1) // 2), thickness // 2
-    wide = centre.withColumn("x", F.explode(F.expr(f"transform(sequence({low}, {high}), d -> cx + d)"))).withColumn("y", F.explode(F.expr(f"transform(sequence({low}, {high}), d -> cy + d)")))
+    wide = centre.withColumn("x", F.explode(F.expr(f"transform(sequence({low}, {high}), d -> _cx + d)"))).withColumn("y", F.explode(F.expr(f"transform(sequence({low}, {high}), d -> _cy + d)")))
     seen = wide.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
     return merged(seen.withColumn("value", F.lit(255)), keys)
 
@@ -154,6 +155,23 @@ GRID_PARTS, FIRST_LEAD, SIGNAL_MASK, ALL_SIGNALS = ["grid_major", "grid_minor"],
 # --- end of fixed values -----------------------------------------------------------------------
 
 
+def page_masks(keys: list[str], width: int, height: int, points: DataFrame | None = None, lines: DataFrame | None = None, shapes: DataFrame | None = None, radius: int = 0, thickness: int = 1) -> DataFrame:
+    """All masks of pages: keys, mask, y, x, value. Each input has keys and the name of its mask:
+    points (x, y), lines (pts) and filled boxes (x0, y0, x1, y1)."""
+    own = [*keys, "mask"]
+    made = []
+    if points is not None:
+        made.append(dots(points, own, width, height, radius))
+    if lines is not None:
+        made.append(strokes(lines, own, width, height, thickness))
+    if shapes is not None:
+        made.append(boxes(shapes, own, width, height))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return merged(out, own)
+
+
 def multiclass(pixels: DataFrame, keys: list[str], mask: str = "mask") -> DataFrame:
     """Pixels of named masks (keys, mask, y, x, value) by class, 1 to 19, merged over the segments
     of a lead; parts of the grid count where the page has no whole one; unknown masks drop."""

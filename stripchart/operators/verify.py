@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripchart.operators import stats
+from stripchart.operators import signal, stats
 
 #: Pixels of a millimetre, millimetres of a millivolt and of a second, and the error that passes.
 PX_PER_MM, MM_PER_MV, MM_PER_S, TOLERANCE_MM = 12.0, 10.0, 25.0, 0.5
@@ -56,3 +56,9 @@ def reports(points: DataFrame, keys: list[str], lead: str, digits: int = 3) -> D
     made = overall(points, keys).join(page, keys)
     body = F.struct(F.lit(TOLERANCE_MM).alias("tolerance_mm"), F.transform("_leads", lambda x: x["e"]).alias("lead_measurements"), "overall_status", r("max_error_mm").alias("max_amplitude_error_mm"))
     return made.select(*keys, "overall_status", "max_error_mm", F.to_json(body).alias("report"), F.concat_ws("\n", F.transform("_leads", lambda x: x["t"]), F.concat(F.lit("OVERALL STATUS: "), "overall_status")).alias("text"))
+
+
+def lead_points(drawn: DataFrame, keys: list[str], order: list[str], mv: str, y_px: str, baseline_px: str, points: int = 10, **limits) -> DataFrame:
+    """Measured points of each trace of drawn samples: its peaks and samples at regular places.
+    Column `index` is a sample's place from 0."""
+    return measured(signal.measurement_points(drawn, keys, order, mv, points), "index", mv, baseline_px, y_px, **limits)

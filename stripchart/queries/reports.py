@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stripchart.functions import streams, text
 from stripchart.functions.arrays import in_order
-from stripchart.operators import checks, layout, match, sampling, verify
+from stripchart.operators import checks, layout, match, raster, sampling, verify
 from stripchart.queries.drawings import drawn
 from stripchart.queries.registry import query, rounded, samples, table
 from stripchart.queries.texts import _LABELS, _sql_patterns
@@ -393,3 +393,37 @@ def q_lattice_lines(spark, sf_dir):
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 4)
     lines = part.select("p_partkey", choose(0).alias("j"), choose(1).alias("m"))
     return lines.select("p_partkey", F.size("j").cast("bigint").alias("major"), total("j").alias("major_sum"), F.size("m").cast("bigint").alias("minor"), total("m").alias("minor_sum"))
+
+
+@query("""with s as (select user_id, event_id, value / 100 as mv, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as n, lag(value) over w as a, lead(value) over w as b, value from events window w as (partition by user_id order by ts, event_id)),
+p as (select user_id, i, row_number() over (partition by user_id order by abs(value) desc, i) as place from s where (value > a and value > b) or (value < a and value < b)),
+m as (select s.* from s left join p on s.user_id = p.user_id and s.i = p.i and p.place <= 5 where p.place is not null or s.i % greatest(1, n // 5) = 0 or s.i = n - 1)
+select user_id, cast(i as bigint) as index, round((event_id % 19 - 9) / 12.0, 6) as error_mm, case when abs((event_id % 19 - 9) / 12.0) <= 0.5 + 1e-9 then 'PASS' else 'FAIL' end as status from m""")
+def q_verify_leads(spark, sf_dir):
+    """Traces drawn up to nine pixels off, measured at their peaks and at regular places."""
+    drawn_ones = samples(spark, sf_dir).select("user_id", "event_id", "t", (F.col("v") / 100).alias("mv"), F.lit(300.0).alias("base"), (300 - F.col("v") / 100 * 120 - (F.col("event_id") % 19 - 9)).alias("y"))
+    found = verify.lead_points(drawn_ones, ["user_id"], ["t", "event_id"], "mv", "y", "base", tolerance=0.5 + 1e-9)
+    return rounded(found.select("user_id", F.col("index").cast("bigint").alias("index"), "error_mm", "status"), "error_mm")
+
+
+@query("""with p as (select cast(s_suppkey as bigint) as page_id, [200, 100, 60][s_suppkey % 3 + 1] as n from supplier) select page_id, case when page_id % 7 <> 5 or (page_id % 7 <> 3 and 12 * n >= 50) then case when page_id % 4 = 0 then 'raster' else 'drawn' end else 'raster' end as kind from p""")
+def q_inspected(spark, sf_dir):
+    """Documents by their first pages; of every fourth only a later page was read."""
+    ops = drawn(spark, sf_dir)[0].withColumn("page", F.when(F.col("page_id") % 4 == 0, 2).otherwise(1))
+    documents = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("page_id"))
+    return files.inspected(documents, ops, "page_id")
+
+
+@query("""with s as (select s_suppkey as k, s_nationkey as n from supplier),
+g as (select k, 'grid_major' as mask, cast(k % 30 as integer) as y, unnest(range(20)) as x from s union all select k, 'grid_major', cast(k % 30 as integer), unnest(range(20)) from s),
+l as (select k, 'lead_labels' as mask, unnest(range(cast(n % 10 as bigint), cast(n % 10 + 4 as bigint))) as y, 7 as x from s),
+d as (select k, 'signal_I' as mask, cast(n as integer) as y, cast(k % 20 as integer) as x from s)
+select k, mask, y, x, 255 as value from (select * from g union all select * from l union all select * from d) where x between 0 and 19 and y between 0 and 29 group by all""")
+def q_page_masks(spark, sf_dir):
+    """Masks of pages from points, lines and boxes."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    lines = s.select("k", F.lit("grid_major").alias("mask"), F.array(point(F.lit(0), F.col("k") % 30), point(F.lit(19), F.col("k") % 30)).alias("pts"))
+    shapes = s.select("k", F.lit("lead_labels").alias("mask"), F.lit(7).alias("x0"), F.lit(7).alias("x1"), (F.col("n") % 10).alias("y0"), (F.col("n") % 10 + 3).alias("y1"))
+    points = s.select("k", F.lit("signal_I").alias("mask"), (F.col("k") % 20).cast("double").alias("x"), F.col("n").cast("double").alias("y"))
+    return raster.page_masks(["k"], 20, 30, points, lines, shapes)

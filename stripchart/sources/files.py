@@ -72,3 +72,10 @@ def within_cap(batch: DataFrame, cap: int = 100) -> DataFrame:
 def unfinished(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Jobs without a result yet."""
     return jobs.join(done.select(key).distinct(), key, "left_anti")
+
+
+def inspected(documents: DataFrame, ops: DataFrame, key: str, page: str = "page") -> DataFrame:
+    """documents with `kind`: drawn, where the first page (number 1 in ops) has enough vector
+    operators, else raster, as also where none could be read."""
+    first = vector_operations(ops.where(F.col(page) == 1), [key]).select(key, F.col("drawn").alias("_drawn"))
+    return documents.join(first, key, "left").withColumn("kind", F.when(F.col("_drawn"), "drawn").otherwise("raster")).drop("_drawn")

@@ -5,7 +5,7 @@ Documents are rows (ecg_id, xml). Spark's own XPath functions read them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripchart.functions import arrays, codec
@@ -15,6 +15,15 @@ from stripchart.functions.codec import xml_escaped
 _RHYTHM = "//Waveform[translate(WaveformType, 'rhytm', 'RHYTM')='RHYTHM']"
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """ecg_id (file stem), xml of the files under a path. ValueError where one is no .xml file."""
+    found = spark.read.format("binaryFile").load(path)
+    other = found.where(~F.col("path").rlike(r"(?i)\.xml$")).select("path").limit(1).collect()
+    if other:
+        raise ValueError(f"only .xml files are read: {other[0]['path']}")
+    return found.select(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1).alias("ecg_id"), F.decode("content", "UTF-8").alias("xml"))
+
+
 def _lead_data(documents: DataFrame) -> DataFrame:
     """ecg_id, pos, name, gain, payload of the lead data of rhythm waveforms, in their order."""
     path = lambda field: F.expr(f"""xpath(xml, "{_RHYTHM}/LeadData/{field}/text()")""")

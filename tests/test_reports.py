@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stripchart.functions import arrays, codec, streams, text
 from stripchart.operators import checks, geometry, noise, raster, sampling, verify
 from stripchart.plans import extract
-from stripchart.sources import files, stored, writers
+from stripchart.sources import files, stored, waveform_xml, writers
 
 
 @pytest.mark.parametrize(
@@ -143,3 +143,12 @@ def test_extract_of_nothing(spark):
     texts = spark.createDataFrame([], "page_id long, pos int, text string, x double, y double")
     channels, status = extract.extract(ops, pages, texts)
     assert channels.count() == 0 and [tuple(r) for r in status.collect()] == [(1, "NO_TRACES")]
+
+
+def test_documents_of_a_path(spark, tmp_path):
+    (tmp_path / "a.b.XML").write_text("<R><SampleBase>250</SampleBase></R>")
+    found = waveform_xml.read_documents(spark, str(tmp_path))
+    assert [tuple(r) for r in waveform_xml.source_duration(found.withColumn("n", F.lit(500)), "n").select("ecg_id", "duration_s").collect()] == [("a.b", 2.0)]
+    (tmp_path / "c.txt").write_text("x")
+    with pytest.raises(ValueError, match="c.txt"):
+        waveform_xml.read_documents(spark, str(tmp_path))
