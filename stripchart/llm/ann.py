@@ -29,7 +29,7 @@ BITS = 128
 SUBSTRINGS = (16, 8, 4, 2)
 ITERATIONS = 10
 #: The radius takes in this share of the true neighbours between rows of the sample.
-WITHIN = 0.985
+WITHIN = 0.97
 #: Rows of an index block at least, where there are more than BLOCKS of those at most; of a query
 #: block at most.
 BLOCK_ROWS, BLOCKS, LARGE_BLOCK, BLOCK_QUERIES = 8192, 64, 32768, 32768
