@@ -98,6 +98,24 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"\b", f"(?!{_WORD})").replace(r"[\s-]", f"[{SPACES}-]").replace(r"\s", f"[{SPACES}]")
 
 
+def one_of(patterns: list[str]) -> str:
+    """A pattern that finds what any of the patterns does. Plain choices in parentheses are taken
+    apart and grouped by their first letter, so that few are tried at each character."""
+    rest, by_letter = [], {}
+    for pattern in patterns:
+        inner = pattern[1:-1]
+        if pattern[0] + pattern[-1] == "()" and "(" not in inner and ")" not in inner:
+            for choice in inner.split("|"):
+                if choice[0].isalpha() and choice[1:2] not in ("?", "*", "+", "{"):
+                    by_letter.setdefault(choice[0], []).append(choice[1:])
+                else:
+                    rest.append(choice)
+        else:
+            rest.append(pattern)
+    grouped = [f"{letter}(?:{'|'.join(map(java_pattern, ends))})" for letter, ends in by_letter.items()]
+    return "|".join(grouped + [f"(?:{java_pattern(p)})" for p in rest])
+
+
 def is_lead_label(text: Column) -> Column:
     return trimmed(text).isin(LEAD_LABELS)
 
@@ -107,9 +125,8 @@ def is_kept_text(text: Column) -> Column:
     The list is leaky by design of its short patterns: four capitals or digits pass."""
     t = trimmed(text)
     small = F.lower(F.translate(t, _LIKE_ASCII, "\ufffd" * len(_LIKE_ASCII)))
-    either = lambda patterns: "|".join(f"(?:{java_pattern(p)})" for p in patterns)
-    whole = either(p for p, case in KEPT_PATTERNS if case)
-    folded = either(p.lower() for p, case in KEPT_PATTERNS if not case)  # none has an escape in capitals
+    whole = one_of([p for p, case in KEPT_PATTERNS if case])
+    folded = one_of([p.lower() for p, case in KEPT_PATTERNS if not case])  # none has an escape in capitals
     return (t == "") | t.isin(LEAD_LABELS) | small.rlike(folded) | t.rlike(whole)
 
 
