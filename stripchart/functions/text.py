@@ -81,13 +81,15 @@ SPEED_GAIN_OTHER = "{s}mm/s   {g}mm/mV"
 
 #: What counts as white space at the edges and in patterns: Unicode's, with no-break space.
 SPACES = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same, as characters.
+_TRIMMED = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 _WORD = "[A-Za-z0-9_]"
 #: Letters outside ASCII whose small form is an ASCII letter: ignoring case, they are not it.
 _LIKE_ASCII = "\u212a\u0130"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.btrim(text, F.lit(_TRIMMED))
 
 
 def java_pattern(pattern: str) -> str:
