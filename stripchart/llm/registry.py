@@ -1,6 +1,6 @@
 """The queries of this subpackage."""
 
-from stripchart.llm import ann, bpe, idfile, langid, media, packing, secrets, sharding, simhash, warc
+from stripchart.llm import ann, bpe, idfile, langid, media, packing, repeats, secrets, sharding, simhash, warc
 
 QUERIES = {
     "op1_mixture": langid.op1_mixture,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_backtracking_bpe": bpe.op8_backtracking_bpe,
     "op9_ranked_bytes": idfile.op9_ranked_bytes,
     "op10_sum_of_squares": packing.op10_sum_of_squares,
+    "op11_interval_expansion": repeats.op11_interval_expansion,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_content_addressed": warc.OP3_SQL,
+    "op11_interval_expansion": repeats.OP11_SQL,
 }
