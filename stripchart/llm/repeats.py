@@ -23,6 +23,7 @@ so that the texts around one very frequent passage do not meet in one part.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ MARK, STRETCH = 16, 64
 #: gives a part a few bytes for each mark, so for corpora far beyond 10 TB larger slices pay.
 SLICE, BLOCK = 2_000_000, 1 << 15
 #: Bytes of text whose distinct marks or stretches meet in one part, about; of text transformed at once.
-PART, TRANSFORMED = 64_000_000, 4_000_000
+PART, TRANSFORMED = 64_000_000, 500_000
 #: Slices that share a mark, from which its windows are dealt one by one.
 FREQUENT = 20_000
 #: Bytes of answers up to which they are sent to all tasks; beyond, slices are shuffled to them.
@@ -150,19 +151,19 @@ def window_classes(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     The queue holds the suffix intervals of the strings of one size whose right end was not yet
     known to separate; extending each by every byte before it gives those of the next size."""
     n = len(text)
-    order = _suffixes(text, length).astype(np.int64)
+    order = _suffixes(text, length)
     before = text[order - 1]
     first = text[order]
-    back = np.empty(n, np.int64)
-    back[np.argsort(before, kind="stable")] = np.arange(n)
+    back = np.empty(n, np.int32)
+    back[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     apart = np.zeros(n + 1, bool)
     apart[[0, n]] = True
-    stamp = np.zeros(n + 2, np.int64)
+    stamp = np.zeros(n + 2, np.int32)
     same_first = np.r_[False, first[1:] == first[:-1], False]
     lows, highs = np.array([0]), np.array([n])
     for _ in range(length):
         size = highs - lows
-        label = np.repeat(np.arange(1, len(lows) + 1), size)
+        label = np.repeat(np.arange(1, len(lows) + 1, dtype=np.int32), size)
         to = back[np.repeat(lows - np.cumsum(size) + size, size) + np.arange(len(label))]
         stamp[to + 1] = label
         begins = np.sort(to[(stamp[to] != label) | ~same_first[to]])
@@ -238,7 +239,7 @@ def _answers(df: DataFrame, name: str) -> DataFrame:
 
 
 def _joined_data(batch: pa.RecordBatch, name: str, i: int) -> bytes:
-    return b"".join(x["data"] for x in batch.column(name)[i].as_py() or [])
+    return b"".join(zlib.decompress(x["data"]) for x in batch.column(name)[i].as_py() or [])
 
 
 ROWS = "slice long, part int, data binary"
@@ -319,8 +320,8 @@ def _dealt(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, answer: list[dic
 
 
 def smaller_elsewhere(slices: DataFrame, shared: DataFrame, parts: int, length: int) -> DataFrame:
-    """slice, part, data: 8 bytes for each distinct stretch that the slice has of the part, in
-    order, with a bit for each of its windows that a smaller id holds than any in the slice."""
+    """slice, part, data (deflated): 8 bytes for each distinct stretch that the slice has of the
+    part, in order, with a bit for each of its windows that a smaller id holds than any there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +354,7 @@ def smaller_elsewhere(slices: DataFrame, shared: DataFrame, parts: int, length:
         bits = (smaller[index] < np.repeat(low, sizes)).astype(np.uint64) << inner.astype(np.uint64)
         masks = np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes).astype("<u8")
         ends = np.cumsum([n for *_, n in rows])
-        return _rows([(s, p, masks[e - n : e].tobytes()) for (s, p, n), e in zip(rows, ends)])
+        return _rows([(s, p, zlib.compress(masks[e - n : e].tobytes(), 1)) for (s, p, n), e in zip(rows, ends)])
 
     ship(slices.sparkSession)
     return over_partitions(slices.join(shared, "slice"), read, ROWS).groupBy("part").applyInArrow(judge, ROWS)
@@ -361,7 +362,8 @@ def smaller_elsewhere(slices: DataFrame, shared: DataFrame, parts: int, length:
 
 def _smallest(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
     """The least id for each window of each of the pieces, in order. Pieces are transformed in
-    batches; those with a mark in common are in one."""
+    batches; those with a mark in common are in one. A piece alone with its mark has no window in
+    common with any other."""
     size = min(MARK, length)
     firsts = np.frombuffer(b"".join(p[:length] for p in pieces), np.uint8)
     marks = _least(_hashes(firsts, size), length - size + 1)[::length]
@@ -369,8 +371,12 @@ def _smallest(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray
     sizes = np.array([len(p) for p in pieces])
     count = sizes - length + 1
     starts = np.cumsum(count) - count
-    out = np.empty(count.sum(), np.int64)
-    marks, total = marks[order], np.cumsum(sizes[order])
+    out = np.repeat(least, count)
+    marks = marks[order]
+    more = np.r_[False, marks[1:] == marks[:-1]]
+    more |= np.r_[more[1:], False]
+    order, marks = order[more], marks[more]
+    total = np.cumsum(sizes[order])
     at = 0
     while at < len(order):
         to = int(np.searchsorted(total, (total[at - 1] if at else 0) + TRANSFORMED))
