@@ -200,14 +200,33 @@ def identified(docs: DataFrame, keep: list[str] | None = None, made: tuple[str,
     return predicted(docs, names, table_of, keep=keep, made=made)
 
 
+def explained(text: str | None, table_of: np.ndarray) -> bool:
+    """Whether the mixture of languages found for a text makes its trigrams likelier than all
+    being equally likely does: the empty set of languages against the set that was chosen. A text
+    without a letter is not explained."""
+    buckets, counts = trigram_counts(text or "")
+    if not len(buckets):
+        return False
+    likelihood = table_of[buckets]
+    chosen, share = infer(likelihood, counts.astype(np.float64))
+    mixed = np.logaddexp.reduce(likelihood[:, chosen] + np.log(np.maximum(share, 1e-300)), axis=1)
+    return float(counts @ mixed) > -float(counts.sum()) * np.log(BUCKETS)
+
+
 def recognised(docs: DataFrame, names: list[str], table_of: np.ndarray) -> DataFrame:
-    """The rows of docs, with its columns, whose language is found. Rows whose text is null or
-    has no letter go; repeated rows stay, and no rows give no rows. Where nothing was learned
-    all texts with a letter stay."""
+    """The rows of docs, with its columns, whose language is among those learned: texts that their
+    mixture explains. Null texts, texts without a letter and texts in scripts or letter sequences
+    that no learned language has go; repeated rows stay, long texts are read whole, and no rows
+    give no rows. Where nothing was learned all texts with a letter stay."""
     if not names:
         return lettered(docs)
-    made = tuple(c + "_" * (1 + max(map(len, docs.columns))) for c in MADE)  # longer than any name there is
-    return predicted(docs, names, table_of, made=made).where(F.col(f"`{made[0]}`") != UNKNOWN).select(*(F.col(f"`{c}`") for c in docs.columns))
+    at = docs.columns.index("text")
+    shared = docs.sparkSession.sparkContext.broadcast(table_of)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([explained(t, shared.value) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return over_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
