@@ -201,16 +201,16 @@ def identified(docs: DataFrame, keep: list[str] | None = None, made: tuple[str,
 
 
 def explained(text: str | None, table_of: np.ndarray) -> bool:
-    """Whether the mixture of languages found for a text makes its trigrams likelier than all
-    being equally likely does: the empty set of languages against the set that was chosen. A text
-    without a letter is not explained."""
+    """Whether the mixture of languages found for a text gains more than the penalty of a language
+    over the empty set, in which all trigrams are equally likely. A text without a letter is not
+    explained."""
     buckets, counts = trigram_counts(text or "")
     if not len(buckets):
         return False
     likelihood = table_of[buckets]
     chosen, share = infer(likelihood, counts.astype(np.float64))
     mixed = np.logaddexp.reduce(likelihood[:, chosen] + np.log(np.maximum(share, 1e-300)), axis=1)
-    return float(counts @ mixed) > -float(counts.sum()) * np.log(BUCKETS)
+    return float(counts @ (mixed + np.log(BUCKETS))) > PENALTY * np.log(counts.sum() + 1.0)
 
 
 def recognised(docs: DataFrame, names: list[str], table_of: np.ndarray) -> DataFrame:
