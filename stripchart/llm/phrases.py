@@ -50,7 +50,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
             while total:
                 name, own = total.popitem()
                 words = pa.array(own.keys(), pa.binary()).view(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), words, pa.array(own.values(), pa.int64())], names=["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), words, pa.array(own.values(), pa.int64())], names=["lang", "word", "n"])
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
