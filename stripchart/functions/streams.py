@@ -6,12 +6,12 @@ from __future__ import annotations
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from stripchart.functions import text
-from stripchart.session import ship
+from stripchart.session import settled, ship
 
 _STRING = r"(?P<string>\((?:[^()\\]|\\.|(?&string))*+\)?)"
 _WHITE = r"\t\n\r "
@@ -102,6 +102,28 @@ def redacted(cut: Column, mode: str) -> Column:
     return F.when(is_readable(cut), stripped(cut, mode)).otherwise(stripped(cut, "all"))
 
 
+def drawn_objects(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """document, object: all that a first page draws, directly or through others. edges: document,
+    object, to_object; first: document, object. Each round goes one step on from what the last
+    one found anew, so that circles end; what is found is kept in the shared folder."""
+    found = settled(first.select("document", "object").distinct())
+    fresh = found
+    while not fresh.isEmpty():
+        further = fresh.join(edges, ["document", "object"]).select("document", F.col("to_object").alias("object")).distinct()
+        fresh = settled(further.join(found, ["document", "object"], "left_anti"))
+        found = settled(found.unionByName(fresh))
+    return found
+
+
+def redacted_documents(cut: DataFrame, drawn: DataFrame, mode: str) -> DataFrame:
+    """cut (document, object, cut and others) with `readable` and `stream`. Documents are judged
+    as a whole: readable is one of which an object in `drawn` (document, object) shows a plain
+    lead label; of all others every text goes, in each of their streams. Null streams stay null."""
+    plain = cut.join(drawn, ["document", "object"], "left_semi").groupBy("document").agg(F.max(is_readable(F.col("cut"))).alias("readable"))
+    judged = cut.join(plain, "document", "left").withColumn("readable", F.coalesce("readable", F.lit(False)))
+    return judged.withColumn("stream", F.when(F.col("readable"), stripped(F.col("cut"), mode)).otherwise(stripped(F.col("cut"), "all")))
+
+
 def audit(cut: Column) -> Column:
     """All texts that a stream shows."""
     return F.transform(F.filter(cut, lambda p: p["shown"].isNotNull()), lambda p: p["shown"])

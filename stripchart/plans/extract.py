@@ -188,7 +188,7 @@ def samples_of(time: np.ndarray, value: np.ndarray, baseline: float, per_second:
 def converted(traces: DataFrame) -> DataFrame:
     """Named traces with their page's grid to channels: samples, duration, rate, box."""
     ship(traces.sparkSession)
-    schema = "page_id long, poly_id int, name string, layout string, vendor string, rotation int, samples array<double>, duration_s double, sample_rate_hz int, x0 double, x1 double, y0 double, y1 double"
+    schema = "page_id long, poly_id int, name string, layout string, vendor string, rotation int, samples array<double>, duration_s double, sample_rate_hz int, x0 double, x1 double, y0 double, y1 double, n_points int"
 
     def run(frames):
         for frame in frames:
@@ -201,7 +201,7 @@ def converted(traces: DataFrame) -> DataFrame:
                 base = baseline_of(value, r.pulses, r.h_major if across else r.v_major, r.h_lines if across else r.v_lines, spacing)
                 data, duration = samples_of(time, value, base, per_second, per_mv, r.inverted)
                 rate = int(np.floor(len(data) / duration + 0.5)) if len(data) > 1 and duration > 0 else 0
-                made.append((r.page_id, r.poly_id, r.name, r.layout, r.vendor, r.rotation, data, duration, rate, r.x0, r.x1, r.y0, r.y1))
+                made.append((r.page_id, r.poly_id, r.name, r.layout, r.vendor, r.rotation, data, duration, rate, r.x0, r.x1, r.y0, r.y1, len(r.pts)))
             yield pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")])
 
     needed = ["page_id", "poly_id", "name", "layout", "vendor", "rotation", "pts", "time_axis", "inverted", "x0", "x1", "y0", "y1", "spacing_x", "spacing_y", "h_lines", "v_lines", "h_major", "v_major", "pulses"]
@@ -209,15 +209,15 @@ def converted(traces: DataFrame) -> DataFrame:
 
 
 def with_rhythm(channels: DataFrame, target: float = 10.0) -> DataFrame:
-    """channels, rhythm strips replaced by one per page named II_rhythm: the first drawn, else
-    lead II as it is or repeated in whole to about ten seconds."""
+    """channels, rhythm strips replaced by one per page named II_rhythm: the drawn one of most
+    points, the first of those, else lead II as it is or repeated in whole to about ten seconds."""
     is_strip = F.col("name").rlike("(?i)_rhythm$")
     usual = channels.where(~is_strip)
-    drawn = match.top_rows(channels.where(is_strip), PAGE, [F.col("poly_id")], 1).withColumn("name", F.lit("II_rhythm"))
+    drawn = match.top_rows(channels.where(is_strip), PAGE, [F.desc("n_points"), F.col("poly_id")], 1).withColumn("name", F.lit("II_rhythm"))
     second = match.top_rows(usual.where("name = 'II'"), PAGE, [F.col("poly_id")], 1).join(drawn.select("page_id"), PAGE, "left_anti").where("duration_s > 0")
     longer = second.withColumn("_s", arrays.repeated_to("samples", "duration_s", target)).withColumn("duration_s", F.col("duration_s") * F.size("_s") / F.size("samples"))
     made = longer.withColumn("samples", F.col("_s")).drop("_s").withColumn("name", F.lit("II_rhythm")).withColumn("sample_rate_hz", F.floor(F.size("samples") / F.col("duration_s") + 0.5).cast("int"))
-    return usual.unionByName(drawn).unionByName(made.select(*usual.columns))
+    return usual.unionByName(drawn).unionByName(made.select(*usual.columns)).drop("n_points")
 
 
 def extract(ops: DataFrame, pages: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stripchart.functions import streams, text
@@ -64,7 +65,7 @@ _KEYS = [*checks.METADATA, *checks.GRID, *checks.MAPS, *checks.LABELS]
 
 @query(f"""with k as (select unnest({_KEYS!r}) as key, unnest(range({len(_KEYS)})) as i), g as (select o_orderkey, key, i, o_orderkey % 29 <> i as has from orders, k),
 w as (select o_orderkey, count(*) filter (not has) as missing from g group by o_orderkey)
-select o_orderkey, missing + case when o_orderkey % 7 = 0 then 1 else 0 end + case when o_orderkey % 11 = 0 and o_orderkey % 29 <> {8 + 8} then 1 else 0 end + case when o_orderkey % 5 = 0 then 1 else 0 end as issues,
+select o_orderkey, missing + case when o_orderkey % 7 = 0 then 1 else 0 end + case when o_orderkey % 11 = 0 and o_orderkey % 29 <> {8 + 8} then 1 else 0 end + case when o_orderkey % 5 = 0 and o_orderkey % 7 <> 0 then 1 else 0 end as issues,
  case when o_orderkey % 7 = 0 then '' when o_orderkey % 3 = 0 then 'signal_I,signal_V1' else 'signal_I' end as signals, o_orderkey % 13 = 0 as augmented from w""")
 def q_array_issues(spark, sf_dir):
     """Stored pages with a key left out, a map of another type, a signal of another shape or none."""
@@ -76,8 +77,7 @@ def q_array_issues(spark, sf_dir):
     signal = lambda name: F.struct(F.lit(name).alias("key"), F.struct(F.lit("float32").alias("dtype"), F.array(F.lit(500), wide).alias("shape")).alias("value"))
     some = [F.when(o % 7 != 0, signal("signal_I")), F.when((o % 7 != 0) & (o % 3 == 0), entry("signal_V1", "float32", 500, 3)), entry("signal_I_resampled_250", "float32", 250, 3), entry("signal_line_width_px", "float64"), F.when(o % 13 == 0, entry("applied_augmentations", "str", 2))]
     made = table(spark, sf_dir, "orders").select("o_orderkey", F.map_from_entries(F.array_compact(F.array(*usual, *some))).alias("e"))
-    # a page without signals has no signal of a wrong shape
-    return made.select("o_orderkey", (F.size(checks.array_issues("e")) + F.when((o % 7 == 0) & (o % 5 == 0), 1).otherwise(0)).cast("bigint").alias("issues"), F.array_join(checks.signal_keys("e"), ",").alias("signals"), checks.is_augmented("e").alias("augmented"))
+    return made.select("o_orderkey", F.size(checks.array_issues("e")).cast("bigint").alias("issues"), F.array_join(checks.signal_keys("e"), ",").alias("signals"), checks.is_augmented("e").alias("augmented"))
 
 
 @query("""with i as (select ps_partkey, ps_suppkey, 3564 + ps_suppkey % 3 - 1 as w, 2520 + ps_partkey % 2 as h, 'out/' || ps_suppkey || '/ecg_' || ps_partkey || '_p0.png' as path from (select l_partkey as ps_partkey, l_suppkey as ps_suppkey from lineitem group by all))
@@ -152,6 +152,28 @@ def q_stream_audit(spark, sf_dir):
     return _streams(spark, sf_dir).select("c_custkey", F.array_join(streams.audit(F.col("cut")), "|").alias("texts"))
 
 
+@query("""with recursive objects as (select o_custkey as document, o_orderkey as object, lead(o_orderkey) over w as after, lag(o_orderkey) over w as before, min(o_orderkey) over (partition by o_custkey) as first
+  from orders window w as (partition by o_custkey order by o_orderkey)),
+edges as (select document, object, after as to_object from objects where object % 3 <> 0 and after is not null union all select document, object, before from objects where object % 5 = 0 and before is not null),
+reached as (select distinct document, first as object from objects union select reached.document, to_object from reached join edges on edges.document = reached.document and edges.object = reached.object),
+plain as (select document, bool_or(object % 7 = 0) as readable from reached group by document)
+select document, objects.object, readable, case when readable then 'q' || chr(10) || case when object % 7 = 0 then 'BT (V1) Tj ET' || chr(10) else '' end || 'BT (25mm/s) Tj ET' || chr(10) || 'Q' else 'q' || chr(10) || 'Q' end as stream
+from objects join plain using (document)""")
+def q_redact_documents(spark, sf_dir):
+    """Streams of documents of several objects that draw each other, some in circles: readable is
+    a document of which anything that its first page draws shows a lead label."""
+    w = Window.partitionBy("document").orderBy("object")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("object"))
+    placed = orders.withColumn("after", F.lead("object").over(w)).withColumn("before", F.lag("object").over(w))
+    draws = F.array_compact(F.array(F.when(F.col("object") % 3 != 0, F.col("after")), F.when(F.col("object") % 5 == 0, F.col("before"))))
+    edges = placed.select("document", "object", F.explode(draws).alias("to_object"))
+    first = orders.groupBy("document").agg(F.min("object").alias("object"))
+    stream = F.concat(F.lit("q\n"), F.when(F.col("object") % 7 == 0, "BT (V1) Tj ET\n").otherwise(""), F.lit("BT (25mm/s) Tj ET\n"), F.format_string("BT (Name %d) Tj ET\nQ", "document"))
+    cut = orders.withColumn("cut", streams.pieces(stream))
+    return streams.redacted_documents(cut, streams.drawn_objects(edges, first), "smart").select("document", "object", "readable", "stream")
+
+
+
 @query("select p_partkey, 'a(' || p_partkey || ')' || chr(9) || chr(cast(65 + p_partkey % 26 as integer)) || '/' || chr(92) as t from part")
 def q_stream_escapes(spark, sf_dir):
     """Escapes of strings, by name and by octal number."""

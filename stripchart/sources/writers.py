@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stripchart.session import settled
+
 # --- fixed values: columns of the data set's table, in order, and the configuration behind them --
 CONFIGURED = {
     "format_choice": "format_choice", "rythm_leads": "rythm_leads", "signal_color": "signal_color", "lead_order": "lead_order",
@@ -58,14 +60,34 @@ def quoted(value: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(value, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def numbered(rows: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """rows with their place from 1 in an order, ties in any: dealt by ranges, sorted and counted
+    in each, so that a row's place is its own in its range and the counts of the ranges before.
+    The driver holds one number for each range."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = settled(ranged.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), F.monotonically_increasing_id().alias("at")))
+    kept = kept.withColumn("range", F.shiftright("at", 33))
+    before, starts = 0, []
+    for r in sorted(kept.groupBy("range").count().collect(), key=lambda r: r["range"]):
+        starts.append((r["range"], before))
+        before += r["count"]
+    offsets = rows.sparkSession.createDataFrame(starts, "range long, start long")
+    own = F.col("at").bitwiseAND((1 << 33) - 1)
+    return kept.join(F.broadcast(offsets), "range").select("row.*", (F.col("start") + own + 1).alias(place))
+
+
 def correspondence_lines(names: DataFrame, order: str, anonymous: str, original: str) -> DataFrame:
     """`place` and `line` of the correspondence: the head, after a byte order mark, then a quoted
     pair for each row. Joined by carriage return and line feed they are the file."""
-    pairs = names.select((F.row_number().over(Window.orderBy(order))).cast("bigint").alias("place"), F.concat(quoted(F.col(anonymous)), F.lit(","), quoted(F.col(original))).alias("line"))
+    pairs = numbered(names.select(F.col(order).alias("by"), F.concat(quoted(F.col(anonymous)), F.lit(","), quoted(F.col(original))).alias("line")), ["by"]).select("place", "line")
     return names.sparkSession.createDataFrame([(0, BOM + CORRESPONDENCE)], "place bigint, line string").unionByName(pairs)
 
 
 def export_names(items: DataFrame, order: list[str], failed: str, keys: list[str] = ()) -> DataFrame:
     """Items that did not fail, named ecg_anonymise_1, _2 and so on in their order, per key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return items.where(~F.coalesce(F.col(failed), F.lit(False))).withColumn("export_name", F.concat(F.lit("ecg_anonymise_"), F.row_number().over(w).cast("string")))
+    made = items.where(~F.coalesce(F.col(failed), F.lit(False)))
+    if keys:
+        place = made.withColumn("export_name", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        place = numbered(made, order, "export_name")
+    return place.withColumn("export_name", F.concat(F.lit("ecg_anonymise_"), F.col("export_name").cast("string")))

@@ -152,3 +152,41 @@ def test_documents_of_a_path(spark, tmp_path):
     (tmp_path / "c.txt").write_text("x")
     with pytest.raises(ValueError, match="c.txt"):
         waveform_xml.read_documents(spark, str(tmp_path))
+
+
+def test_places_without_one_task(spark):
+    """Places over ranges, for ties, nulls and no rows; no window without keys in the plan."""
+    from stripchart.sources import writers
+
+    rows = spark.createDataFrame([(i * 7 % 50, f"n{i}") for i in range(200)] + [(None, "x")], "k int, n string").repartition(5)
+    found = writers.numbered(rows, ["k", "n"])
+    wanted = sorted(((r["k"] is not None, r["k"] or 0, r["n"]) for r in rows.collect()))
+    assert [(r["k"] is not None, r["k"] or 0, r["n"]) for r in sorted(found.collect(), key=lambda r: r["place"])] == wanted
+    assert sorted(r["place"] for r in found.collect()) == list(range(1, 202))
+    plan = found._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert writers.numbered(rows.where("false"), ["k"]).count() == 0
+
+
+def test_strip_of_most_points(spark):
+    from stripchart.plans.extract import with_rhythm
+
+    fields = "page_id long, poly_id int, name string, samples array<double>, duration_s double, sample_rate_hz int, n_points int"
+    rows = [(1, 1, "II_rhythm", [1.0], 10.0, 1, 60), (1, 2, "V1_rhythm", [2.0], 10.0, 1, 200), (1, 3, "V5_rhythm", [3.0], 10.0, 1, 200), (1, 0, "II", [0.0], 10.0, 1, 9)]
+    found = {r["name"]: r["samples"] for r in with_rhythm(spark.createDataFrame(rows, fields)).collect()}
+    assert found == {"II": [0.0], "II_rhythm": [2.0]}
+
+
+def test_documents_judged_as_wholes(spark):
+    """Circles end; a label that the first page cannot reach counts for nothing; objects without
+    documents and null streams stay."""
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 1), (2, 5, 5), (2, 7, 8)], "document int, object int, to_object int")
+    first = spark.createDataFrame([(1, 1), (2, 5), (3, 9)], "document int, object int")
+    drawn = streams.drawn_objects(edges, first)
+    assert sorted(map(tuple, drawn.collect())) == [(1, 1), (1, 2), (1, 3), (2, 5), (3, 9)]
+    label, other = "BT (V1) Tj ET ", "BT (25mm/s) Tj ET "
+    rows = [(1, 1, other), (1, 3, label), (1, 4, other), (2, 5, other), (2, 8, label), (3, 9, None), (4, 1, other)]
+    cut = spark.createDataFrame(rows, "document int, object int, s string").select("document", "object", streams.pieces(F.col("s")).alias("cut"))
+    found = {(r["document"], r["object"]): (r["readable"], r["stream"]) for r in streams.redacted_documents(cut, drawn, "smart").collect()}
+    assert found[1, 1] == (True, other) and found[1, 3] == (True, label) and found[1, 4] == (True, other)
+    assert not any(found[k][0] or "mm" in (found[k][1] or "") for k in ((2, 5), (2, 8), (4, 1))) and found[3, 9][0] is False
