@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stripchart.operators import raster
+from stripchart.operators import raster, warp
 from stripchart.queries.registry import query, rounded, table
 from stripchart.streaming import samples as streaming
 
@@ -108,3 +108,29 @@ def q_composed_maps(spark, sf_dir):
     made = raster.composed(raster.identity_maps(images), lambda x, y: (x, 2 * y + 1))
     each = made.select("p_partkey", "d", F.posexplode(F.arrays_zip("map_x", "map_y")).alias("pos", "z"))
     return each.select("p_partkey", F.col("pos").cast("bigint").alias("pos"), (F.col("z.map_x") + F.col("d")).alias("x"), F.col("z.map_y").alias("y"))
+
+
+def _warp_sql(rounds: int) -> str:
+    """The map's inverse with its rounds written out one by one."""
+    steps = "".join(
+        f""", n{i} as (select s, hy as y, hx as x, avg(from_x) as from_x, avg(from_y) as from_y from (select h.s, h.y as hy, h.x as hx, least(greatest(h.y + dy, 0), 13) as y, least(greatest(h.x + dx, 0), 21) as x
+  from (select * from every anti join d{i} using (s, y, x)) h, k) join d{i} using (s, y, x) group by all), d{i + 1} as (select * from d{i} union all select * from n{i})"""
+        for i in range(rounds)
+    )
+    return f"""with k as (select a.range - 1 as dy, b.range - 1 as dx from range(3) a, range(3) b), g as (select s_suppkey as s, x, y, x * 1.875 + s_suppkey % 3 * 0.25 - 1 as u, y * 1.375 + s_nationkey * 0.125 - x * 0.0625 as v, case when (x * y + s_suppkey) % 4 = 0 then 255 else 0 end as value
+  from supplier, range(12) r(x), range(9) q(y)),
+every as (select s_suppkey as s, y, x from supplier, range(22) r(x), range(14) q(y)),
+put as (select s, y as sy, x as sx, round_even(u, 0)::bigint as x, round_even(v, 0)::bigint as y from g),
+d0 as (select s, y, x, sx::double as from_x, sy::double as from_y from put where x between 0 and 21 and y between 0 and 13 qualify row_number() over (partition by s, y, x order by sy desc, sx desc) = 1){steps},
+seen as (select t.s, t.y, t.x, sum((1 - abs(from_x - g.x)) * (1 - abs(from_y - g.y)) * g.value) as value from d{rounds} t join g on g.s = t.s and abs(from_x - g.x) < 1 and abs(from_y - g.y) < 1 group by all)
+select s, y, x, round_even(round(value, 9), 0)::integer as value from seen where round_even(round(value, 9), 0) > 0"""
+
+
+@query(_warp_sql(warp.ROUNDS))
+def q_warped_masks(spark, sf_dir):
+    """A mask for each supplier, carried through a map that stretches, shears and moves it."""
+    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_nationkey")
+    grid = base.withColumn("y", F.explode(F.expr("sequence(0L, 8L)"))).withColumn("x", F.explode(F.expr("sequence(0L, 11L)")))
+    moves = grid.select("s", "y", "x", (F.col("x") * 1.875 + F.col("s") % 3 * 0.25 - 1).alias("u"), (F.col("y") * 1.375 + F.col("s_nationkey") * 0.125 - F.col("x") * 0.0625).alias("v"))
+    mask = grid.where("(x * y + s) % 4 = 0").select("s", "y", "x", F.lit(255).alias("value"))
+    return warp.warped(mask, moves, base.select("s", F.lit(22).alias("width"), F.lit(14).alias("height")), ["s"])
