@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from stripchart.functions import streams, text
 from stripchart.functions.arrays import in_order
-from stripchart.operators import checks, layout, match, raster, sampling, verify
+from stripchart.operators import checks, layout, match, noise, raster, sampling, verify
 from stripchart.queries.drawings import drawn
 from stripchart.queries.registry import query, rounded, samples, table
 from stripchart.queries.texts import _LABELS, _sql_patterns
-from stripchart.sources import files, stored, waveform_xml, writers
+from stripchart.sources import drawing, files, stored, waveform_xml, writers
 
 _POINTS_SQL = """m as (select l_orderkey as page, l_returnflag as lead, l_linenumber as sample, l_extendedprice / 20000 as mv, 500.0 as base, 500 - l_extendedprice / 20000 * 120 - (l_orderkey % 15 - 7) as y from lineitem),
 e as (select *, mv * 10 as expected, (base - y) / 12 as actual, (base - y) / 12 - mv * 10 as error from m)"""
@@ -449,3 +449,36 @@ def q_page_masks(spark, sf_dir):
     shapes = s.select("k", F.lit("lead_labels").alias("mask"), F.lit(7).alias("x0"), F.lit(7).alias("x1"), (F.col("n") % 10).alias("y0"), (F.col("n") % 10 + 3).alias("y1"))
     points = s.select("k", F.lit("signal_I").alias("mask"), (F.col("k") % 20).cast("double").alias("x"), F.col("n").cast("double").alias("y"))
     return raster.page_masks(["k"], 20, 30, points, lines, shapes)
+
+
+_ALIAS = min(text.ALIASES)
+_SHOWN = ["I", "II", " V1 ", "Smith", "aVR", _ALIAS, "v", "V6"]
+_READ = ["I", "II", "V1", None, "aVR", text.ALIASES[_ALIAS], None, "V6"]
+
+
+@query(f"""with t as (select l_orderkey, l_linenumber, {[x or "" for x in _READ]!r}[l_partkey % 8 + 1] as label, l_suppkey from lineitem)
+select l_orderkey, label, min(l_linenumber * 1000000 + l_suppkey)::bigint as pos, arg_min(l_suppkey, l_linenumber * 1000000 + l_suppkey)::double as x from t where label <> '' group by all""")
+def q_page_labels(spark, sf_dir):
+    """Lead labels among a page's texts, the first of those that repeat."""
+    shown = F.get(F.array(*map(F.lit, _SHOWN)), (F.col("l_partkey") % 8).cast("int"))
+    texts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page_id"), (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).cast("bigint").alias("pos"), shown.alias("text"), F.col("l_suppkey").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    return drawing.labels(texts).select(F.col("page_id").alias("l_orderkey"), F.col("text").alias("label"), "pos", "x")
+
+
+@query(f"""with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as n from orders)
+select o_orderkey, 'doc.' || o_custkey || case when n = 1 then '.PDF' else '_p' || i || '.pdf' end as page_name, n = 1 or o_orderkey % 97 >= {files.DRAWN_FROM} as is_drawn from o""")
+def q_expanded_pages(spark, sf_dir):
+    """Documents of several pages taken apart; those of one page pass."""
+    page = F.struct("o_orderkey", (F.col("o_orderkey") % 97).alias("n"))
+    documents = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(page)).alias("pages")).withColumn("name", F.format_string("doc.%d.PDF", "o_custkey"))
+    return files.pages_of_documents(documents, "name", "pages", "n").select("page.o_orderkey", F.col("page_name"), "is_drawn")
+
+
+_NOISES = [*noise.SUFFIX, "other"]
+
+
+@query(f"""select o_orderkey, 'ecg_' || o_orderkey || {[*noise.SUFFIX.values(), ""]!r}[o_orderkey % {len(_NOISES)} + 1] as name from orders""")
+def q_noise_names(spark, sf_dir):
+    """Records named by the noise that was added; unknown noises add nothing."""
+    kind = F.get(F.array(*map(F.lit, _NOISES)), (F.col("o_orderkey") % len(_NOISES)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ecg_"), F.col("o_orderkey").cast("string"), noise.suffix(kind)).alias("name"))
