@@ -165,15 +165,16 @@ def q_noise(spark, sf_dir):
     return moved.select("ecg_id", (F.col("far") <= most).alias("within"), ((F.col("far") > 0) == (F.col("noise") != "none")).alias("changed"))
 
 
-@query("""with t as (select unnest(range(0, 100)) as i) select vec_id as ecg_id, len(embedding) * 3 as before, true as known_rate, true as on_the_line from embeddings""")
+@query("""select vec_id as ecg_id, len(embedding) * 3 as before, true as known_rate, true as on_the_line, vec_id::double as first, vec_id + 2.0 * (3 * len(embedding) - 1) as last, vec_id + 3.0 * len(embedding) - 1 as mean from embeddings""")
 def q_thinned(spark, sf_dir):
-    """Straight channels thinned: each has the samples of one of the rates, still on its line."""
+    """Straight channels thinned: each has the samples of one of the rates, on its line, with its ends and its mean."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ecg_id"), (F.size("embedding") * 3).alias("before"))
     rows = e.select("ecg_id", "before", F.lit(0).alias("place"), F.lit("II").alias("name"), F.expr("transform(sequence(0, before - 1), i -> cast(2 * i + ecg_id as double))").alias("samples"), F.lit("none").alias("noise"))
     made = noise.thinned(rows)
     sizes = F.array(F.col("before").cast("double"), *(F.rint(F.col("before") * r / 500) for r in noise.RATES))
     line = F.expr("forall(transform(samples, (x, i) -> abs(x - (ecg_id + 2 * i * (before - 1) / (size(samples) - 1)))), d -> d < 1e-6)")
-    return made.select("ecg_id", F.col("before").cast("bigint").alias("before"), F.array_contains(sizes, F.size("samples").cast("double")).alias("known_rate"), line.alias("on_the_line"))
+    return made.select("ecg_id", F.col("before").cast("bigint").alias("before"), F.array_contains(sizes, F.size("samples").cast("double")).alias("known_rate"), line.alias("on_the_line"),
+        F.col("samples")[0].alias("first"), F.element_at("samples", -1).alias("last"), F.round(F.expr("aggregate(samples, 0D, (a, x) -> a + x) / size(samples)"), 6).alias("mean"))
 
 
 @query("select o_orderkey, r as repeat, p as page from orders, range(2) a(r), range(3) b(p) where p < o_orderkey % 3 + 1")
