@@ -114,3 +114,17 @@ def test_every_stage_and_run(spark, tmp_path):
         crcs = {r["doc_id"]: r["ids_crc32"] for r in packed}
         assert crcs == {r["doc_id"]: r["ids_crc32"] for r in packing.pieces_of(spark.createDataFrame(clean, "doc_id long, text string")).collect()}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_shared_paragraphs_are_not_compared(spark):
+    """Texts of shared paragraphs, two of them alike: few pairs pass the filters, the link does."""
+    rng = random.Random(3)
+    paragraphs = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(40)]
+    found = [" ".join(rng.sample(paragraphs, 10)) for _ in range(200)]
+    found.append(found[7] + " and more")
+    texts = spark.createDataFrame(list(enumerate(found)), "row long, text string")
+    heads = overlap.stored(overlap.prefixes(texts), "heads")
+    pairs = overlap.candidates(overlap._rooted(heads.where("place <= n div 5"), None), heads).collect()
+    assert (200, 7) in {(r["row"], r["center"]) for r in pairs}
+    assert len(pairs) < 200 * 200 // 100
+    assert {(r["a"], r["b"]) for r in overlap.links(texts, rounds=0).collect()} == {(200, 7)}
