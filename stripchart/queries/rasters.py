@@ -134,3 +134,20 @@ def q_warped_masks(spark, sf_dir):
     moves = grid.select("s", "y", "x", (F.col("x") * 1.875 + F.col("s") % 3 * 0.25 - 1).alias("u"), (F.col("y") * 1.375 + F.col("s_nationkey") * 0.125 - F.col("x") * 0.0625).alias("v"))
     mask = grid.where("(x * y + s) % 4 = 0").select("s", "y", "x", F.lit(255).alias("value"))
     return warp.warped(mask, moves, base.select("s", F.lit(22).alias("width"), F.lit(14).alias("height")), ["s"])
+
+
+@query("""with s as (select s_suppkey, s_suppkey % 9 - 3.5 as x, s_nationkey % 7 - 2.25 as y from supplier),
+e as (select s_suppkey, unnest([[x, y, x + 30, y + 2], [x + 30, y + 2, x + 12, y + 9], [x + 12, y + 9, x + 28, y + 21], [x + 28, y + 21, x + 3, y + 17], [x + 3, y + 17, x, y]]) as e from s),
+p as (select s_suppkey, b.range as y, a.range as x from supplier, range(32) a, range(16) b),
+i as (select p.s_suppkey, p.y, p.x from p join e using (s_suppkey) where (e[2] <= p.y) <> (e[4] <= p.y) and e[1] + (p.y - e[2]) * (e[3] - e[1]) / (e[4] - e[2]) > p.x group by all having count(*) % 2 = 1)
+select s_suppkey, y, count(*) as covered, sum(x)::bigint as total from i group by all""")
+def q_polygon_fill(spark, sf_dir):
+    """Concave outlines filled line by line, cut at the page's edge."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 9 - 3.5).alias("x"), (F.col("s_nationkey") % 7 - 2.25).alias("y"))
+    corners = [(0, 0), (30, 2), (12, 9), (28, 21), (3, 17)]
+    outlines = s.select("s_suppkey", F.array(*(F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in corners)).alias("pts"))
+    pages = s.select("s_suppkey", F.lit(32).alias("width"), F.lit(16).alias("height"))
+    spans = raster.polygon_spans(outlines, pages, ["s_suppkey"])
+    covered = F.sum(F.expr("x1 - x0")).cast("bigint")
+    total = F.sum(F.expr("(x1 - x0) * (x0 + x1 - 1) div 2")).cast("bigint")
+    return spans.groupBy("s_suppkey", "y").agg(covered.alias("covered"), total.alias("total"))
