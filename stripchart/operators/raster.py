@@ -197,9 +197,9 @@ def background(foreground: DataFrame, pages: DataFrame, keys: list[str]) -> Data
 def polygon_spans(polygons: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     """keys, y, x0, x1: the runs of pixels x0 to x1 - 1 that polygons (keys, pts) cover on pages
     (keys, width, height) by the even-odd rule, a corner on a line counting for the side below.
-    Runs may repeat a pixel of other polygons of the same keys only; null or short outlines give none."""
+    Runs may repeat a pixel of other polygons of the same keys only; null or short outlines and those with a null corner give none."""
     edge = "transform(pts, (p, i) -> struct(p as a, pts[(i + 1) % size(pts)] as b))"
-    edges = polygons.where("size(pts) > 2").withColumn("shape", F.monotonically_increasing_id()).select(*keys, "shape", F.explode(F.expr(edge)).alias("e"))
+    edges = polygons.where("size(pts) > 2 and forall(pts, p -> p.x is not null and p.y is not null)").withColumn("shape", F.monotonically_increasing_id()).select(*keys, "shape", F.explode(F.expr(edge)).alias("e"))
     ends = edges.join(pages, keys).withColumn("top", F.expr("greatest(ceil(least(e.a.y, e.b.y)), 0L)")).withColumn("end", F.expr("least(ceil(greatest(e.a.y, e.b.y)), cast(height as bigint))"))
     lines = ends.where("top < end").withColumn("y", F.explode(F.expr("sequence(top, end - 1)")))
     met = lines.withColumn("c", F.expr("e.a.x + (y - e.a.y) * (e.b.x - e.a.x) / (e.b.y - e.a.y)"))

@@ -45,3 +45,14 @@ def test_against_arrays(spark, rounds):
     assert found == plain(mask, u, v, 20, 12, rounds) and len(found) > 20
     assert warp.warped(pixels.where("false"), moves, pages, ["k"]).count() == 0
     assert warp.warped(pixels, moves.where("false"), pages, ["k"]).count() == 0
+
+
+def test_polygon_spans_of_odd_outlines(spark):
+    """A triangle cut at the page's edge; null, short and broken outlines."""
+    from stripchart.operators import raster
+
+    rows = [(1, [(-2.0, 0.0), (4.0, 0.0), (-2.0, 6.0)]), (2, None), (3, [(0.0, 0.0), (1.0, 1.0)]), (4, [(0.0, 0.0), (None, 3.0), (3.0, 3.0)]), (5, [])]
+    shapes = spark.createDataFrame(rows, "k long, pts array<struct<x: double, y: double>>")
+    pages = spark.createDataFrame([(k, 3, 3) for k in range(1, 6)], "k long, width int, height int")
+    found = raster.polygon_spans(shapes, pages, ["k"]).collect()
+    assert sorted((r["k"], r["y"], r["x0"], r["x1"]) for r in found) == [(1, 0, 0, 3), (1, 1, 0, 3), (1, 2, 0, 2)]
