@@ -310,8 +310,9 @@ def q_stored_arrays(spark, sf_dir):
     """Arrays written to archives and read back; every ninth archive is damaged. An archive lacks
     the keys of a page, but for a signal and, in two of three, the speed."""
     v = F.col("vec_id")
-    # whole numbers as text, one a line: bytes that Spark can make, of type S6
-    lines = F.expr("array_join(transform(embedding, x -> lpad(cast(cast(floor(x * 1000) as int) as string), 6, ' ')), '')")
+    # whole numbers as text, one a line: bytes that Spark can make, of type S6; products in single
+    # precision, as the SQL's
+    lines = F.expr("array_join(transform(embedding, x -> lpad(cast(cast(floor(x * 1000F) as int) as string), 6, ' ')), '')")
     entry = lambda name, dtype, shape, data: F.struct(F.lit(name).alias("name"), F.lit(dtype).alias("dtype"), shape.cast("array<int>").alias("shape"), data.cast("binary").alias("data"))
     signal = entry("signal_I", "S6", F.array(F.size("embedding"), F.lit(1)), lines)
     speed = entry("speed_mm_per_s", "S2", F.expr("cast(array() as array<int>)"), F.lit("25"))

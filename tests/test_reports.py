@@ -190,3 +190,14 @@ def test_documents_judged_as_wholes(spark):
     found = {(r["document"], r["object"]): (r["readable"], r["stream"]) for r in streams.redacted_documents(cut, drawn, "smart").collect()}
     assert found[1, 1] == (True, other) and found[1, 3] == (True, label) and found[1, 4] == (True, other)
     assert not any(found[k][0] or "mm" in (found[k][1] or "") for k in ((2, 5), (2, 8), (4, 1))) and found[3, 9][0] is False
+
+
+def test_stored_arrays_multiply_in_single_precision(spark, tmp_path):
+    """0.053 and -0.149 times 1000 are whole in single precision and not in double."""
+    from stripchart.catalogue import ORACLE_SQL, QUERIES
+
+    duckdb = pytest.importorskip("duckdb")
+    spark.createDataFrame([(1, [0.053, 0.25]), (2, [-0.149, 0.5])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = {r["vec_id"]: r["total"] for r in QUERIES["q_stored_arrays"](spark, str(tmp_path)).collect()}
+    sql = duckdb.sql(f"with embeddings as (select * from '{tmp_path}/embeddings.parquet/*.parquet') select vec_id, total from ({ORACLE_SQL['q_stored_arrays']})")
+    assert found == dict(sql.fetchall()) == {1: 303.0, 2: 351.0}
