@@ -22,7 +22,7 @@ def scattered(moves: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     y, x, u, v) reach, rounded half to even, the last of them in the order of lines. Null and
     outside positions are dropped."""
     put = moves.select(*keys, F.struct("y", "x").alias("source"), F.rint("u").cast("long").alias("x"), F.rint("v").cast("long").alias("y"))
-    inside = put.join(pages, keys).where("x >= 0 and x < width and y >= 0 and y < height")
+    inside = put.hint("merge").join(pages, keys).where("x >= 0 and x < width and y >= 0 and y < height")
     last = inside.groupBy(*keys, "y", "x").agg(F.max("source").alias("source"))
     return last.select(*keys, "y", "x", F.col("source.x").cast("double").alias("from_x"), F.col("source.y").cast("double").alias("from_y"))
 
@@ -52,7 +52,7 @@ def sampled(mask: DataFrame, inverse: DataFrame, keys: list[str], names: list[st
         if(dy = 1, from_y - floor(from_y), 1 - from_y + floor(from_y)) * if(dx = 1, from_x - floor(from_x), 1 - from_x + floor(from_x)) as weight))))""")
     asked = inverse.select(*keys, "y", "x", F.explode(corners).alias("c")).select(*keys, "y", "x", "c.*").where("weight > 0")
     own = mask.select(*keys, *names, F.col("y").cast("long").alias("my"), F.col("x").cast("long").alias("mx"), "value")
-    seen = asked.join(own, [*keys, "my", "mx"]).groupBy(*keys, *names, "y", "x").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+    seen = asked.hint("merge").join(own, [*keys, "my", "mx"]).groupBy(*keys, *names, "y", "x").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
     # sums of weights are exact to some 12 digits in any order
     return seen.withColumn("value", F.rint(F.round("value", 9)).cast("int")).where("value > 0")
 

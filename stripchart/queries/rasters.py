@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stripchart.operators import raster, warp
 from stripchart.queries.registry import query, rounded, table
+from stripchart.session import spread
 from stripchart.streaming import samples as streaming
 
 
@@ -129,7 +130,7 @@ select s, y, x, round_even(round(value, 9), 0)::integer as value from seen where
 @query(_warp_sql(warp.ROUNDS))
 def q_warped_masks(spark, sf_dir):
     """A mask for each supplier, carried through a map that stretches, shears and moves it."""
-    base = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_nationkey")
+    base = spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), "s_nationkey"), "s")
     grid = base.withColumn("y", F.explode(F.expr("sequence(0L, 8L)"))).withColumn("x", F.explode(F.expr("sequence(0L, 11L)")))
     moves = grid.select("s", "y", "x", (F.col("x") * 1.875 + F.col("s") % 3 * 0.25 - 1).alias("u"), (F.col("y") * 1.375 + F.col("s_nationkey") * 0.125 - F.col("x") * 0.0625).alias("v"))
     mask = grid.where("(x * y + s) % 4 = 0").select("s", "y", "x", F.lit(255).alias("value"))

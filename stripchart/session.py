@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -40,7 +41,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder that executors share: later steps read
-    it from there instead of planning and running what made it again."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept as Parquet in the folder that executors share: later steps read
+    the columns they need from there instead of planning and running what made it again. Packed
+    files look small, so joins with it merge sorted rows unless they are told otherwise: the driver
+    gathers no table for its size on disk or before an explosion."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stripchart/settled-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
+
+
+#: Rows of a table that are exploded by one task.
+SPREAD = 256
+
+
+def parts_of(df: DataFrame, rows: int = SPREAD) -> int:
+    """Partitions of about so many of df's rows, no fewer than the session's cores."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df, a table of short rows, dealt by keys into parts for what each row explodes to: files of
+    short rows are read by one task, which would make all of it."""
+    return df.repartition(parts_of(df), *keys)

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stripchart.operators import warp
+from stripchart.session import settled
 
 
 def plain(mask, u, v, width, height, rounds):
@@ -56,3 +58,16 @@ def test_polygon_spans_of_odd_outlines(spark):
     pages = spark.createDataFrame([(k, 3, 3) for k in range(1, 6)], "k long, width int, height int")
     found = raster.polygon_spans(shapes, pages, ["k"]).collect()
     assert sorted((r["k"], r["y"], r["x0"], r["x1"]) for r in found) == [(1, 0, 0, 3), (1, 1, 0, 3), (1, 2, 0, 2)]
+
+
+def test_no_table_of_pixels_is_gathered(spark):
+    """Pixels exploded from few pages look small to the planner; they are never broadcast."""
+    pages = spark.range(3).select(F.col("id").alias("k"), F.lit(8).alias("width"), F.lit(6).alias("height"))
+    grid = pages.withColumn("y", F.explode(F.expr("sequence(0L, 5L)"))).withColumn("x", F.explode(F.expr("sequence(0L, 7L)")))
+    moves = grid.select("k", "y", "x", F.col("x").cast("double").alias("u"), F.col("y").cast("double").alias("v"))
+    inverse = settled(warp.scattered(moves, pages, ["k"]))
+    seen = warp.sampled(grid.select("k", "y", "x", F.lit(9).alias("value")), inverse, ["k"])
+    assert seen.count() == 3 * 48
+    for made in (seen, warp.scattered(moves, pages, ["k"]), grid.join(inverse, ["k", "y", "x"], "left_anti"), inverse.select("k", F.explode(F.array("y", "x"))).join(pages, "k")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
