@@ -10,8 +10,10 @@ found stay as rows with a status.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,13 @@ def oriented(ops: DataFrame, pages: DataFrame) -> DataFrame:
     raw = settled(drawing.polylines(ops, pages))
     named = geometry.vendor(pages, raw.withColumn("n", F.size("pts")), PAGE)
     known = named.join(F.broadcast(profiles(ops.sparkSession)), "vendor")
-    page = known.drop("viewport", "producer", "creator", "author").withColumnRenamed("width", "page_w").withColumnRenamed("height", "page_h")
-    mixed = raw.join(page.where("weld").select("page_id"), PAGE, "left_anti").unionByName(_recoloured(raw.join(page.where("weld").select("page_id"), PAGE, "left_semi")))
-    sized = mixed.join(page, PAGE).withColumn("n", F.size("pts"))
-    candidates = geometry.rotation_candidates(sized, PAGE, "poly_id")
+    page = settled(known.drop("viewport", "producer", "creator", "author").withColumnRenamed("width", "page_w").withColumnRenamed("height", "page_h"))
+    welds = page.where("weld").select("page_id")
+    mixed = raw.join(welds, PAGE, "left_anti").unionByName(_recoloured(raw.join(welds, PAGE, "left_semi"))).withColumn("n", F.size("pts")) if not welds.isEmpty() else raw.withColumn("n", F.size("pts"))
+    candidates = geometry.rotation_candidates(mixed, PAGE, "poly_id")
     scored = geometry.rotation_scores(candidates, PAGE).select("page_id", F.col("rotation").alias("_turn"))
-    turned = sized.drop("n").join(scored, PAGE, "left").withColumn("rotation", F.coalesce("forced_rotation", "_turn", F.lit(0))).drop("_turn")
+    placed = page.join(scored, PAGE, "left").withColumn("rotation", F.coalesce("forced_rotation", "_turn", F.lit(0))).drop("_turn")
+    turned = mixed.drop("n").join(placed, PAGE)
     points = F.transform("pts", lambda p: F.struct(*(c.alias(n) for c, n in zip(geometry.rotated(p["x"], p["y"], F.col("rotation"), F.col("page_w"), F.col("page_h")), "xy"))))
     side = F.col("rotation").isin(90, 270)
     upright = turned.withColumn("pts", points)
@@ -82,7 +85,7 @@ def layouts(traces: DataFrame) -> DataFrame:
         return F.expr(e)
 
     w = Window.partitionBy("page_id")
-    told = traces.withColumn("_x", runs("x", 1)).withColumn("_y", runs("y", 1) | runs("y", -1)).withColumn("_mid", (F.min("cy").over(w) + F.max("cy").over(w)) / 2)
+    told = traces.withColumn("_x", runs("x", 1)).withColumn("_y", runs("y", 1) | runs("y", -1)).drop("pts").withColumn("_mid", (F.min("cy").over(w) + F.max("cy").over(w)) / 2)
     new = lambda axis, limit: (F.col(axis) - F.lag(axis).over(w.orderBy(axis)) > limit).cast("int")
     told = told.withColumn("_col", new("cx", F.col("page_width") * F.col("col_fraction"))).withColumn("_row", new("cy", F.col("page_height") * F.col("row_fraction")))
     page = told.groupBy("page_id", "expected_layout", "monotone_share", "page_width", "page_height", "wide_fraction").agg(
@@ -163,11 +166,11 @@ def baseline_of(values: np.ndarray, pulses, majors, lines, spacing: float) -> fl
     return guess
 
 
-def samples_of(time: np.ndarray, value: np.ndarray, baseline: float, per_second: float, per_mv: float, inverted: bool) -> tuple[list[float], float]:
+def samples_of(time: np.ndarray, value: np.ndarray, baseline: float, per_second: float, per_mv: float, inverted: bool) -> tuple[np.ndarray, float]:
     """(millivolts to four decimals, duration): in time order, reversed where drawn backward; on
     an uneven axis interpolated to 500 a second."""
     if len(time) < 2:
-        return [], 0.0
+        return np.zeros(0), 0.0
     order = np.argsort(time, kind="stable")
     if len(time) > 10 and time[0] > time[-1] + 1:
         order = order[::-1]
@@ -182,30 +185,37 @@ def samples_of(time: np.ndarray, value: np.ndarray, baseline: float, per_second:
         span = t[lo + 1] - t[lo]
         v = v[lo] + (v[lo + 1] - v[lo]) * np.where(span > 0, (grid_t - t[lo]) / np.where(span > 0, span, 1), 0.0)
     mv = (v - baseline) / per_mv
-    return (np.floor((-mv if inverted else mv) * 10000 + 0.5) / 10000).tolist(), duration
+    return np.floor((-mv if inverted else mv) * 10000 + 0.5) / 10000, duration
 
 
 def converted(traces: DataFrame) -> DataFrame:
     """Named traces with their page's grid to channels: samples, duration, rate, box."""
     ship(traces.sparkSession)
     schema = "page_id long, poly_id int, name string, layout string, vendor string, rotation int, samples array<double>, duration_s double, sample_rate_hz int, x0 double, x1 double, y0 double, y1 double, n_points int"
-
-    def run(frames):
-        for frame in frames:
+    kept, lists = ["page_id", "poly_id", "name", "layout", "vendor", "rotation"], ["h_lines", "v_lines", "h_major", "v_major", "pulses"]
+    box = ["x0", "x1", "y0", "y1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pts = batch.column("pts")
+            offsets, (xs, ys) = pts.offsets.to_numpy(), (c.to_numpy(zero_copy_only=False) for c in pts.values.flatten())
+            rows = batch.select(["time_axis", "inverted", "spacing_x", "spacing_y"]).to_pylist()
+            known = {c: batch.column(c) for c in lists}
+            list_of = lambda c, i: known[c][i].values.to_numpy(zero_copy_only=False) if known[c][i].is_valid else None
             made = []
-            for r in frame.itertuples(index=False):
-                xs, ys = np.array([p["x"] for p in r.pts]), np.array([p["y"] for p in r.pts])
-                across = r.time_axis == "x"
-                time, value = (xs, ys) if across else (ys, xs)
-                per_second, per_mv, spacing = (r.spacing_x * MM_PER_S, r.spacing_y * MM_PER_MV, r.spacing_y) if across else (r.spacing_y * MM_PER_S, r.spacing_x * MM_PER_MV, r.spacing_x)
-                base = baseline_of(value, r.pulses, r.h_major if across else r.v_major, r.h_lines if across else r.v_lines, spacing)
-                data, duration = samples_of(time, value, base, per_second, per_mv, r.inverted)
-                rate = int(np.floor(len(data) / duration + 0.5)) if len(data) > 1 and duration > 0 else 0
-                made.append((r.page_id, r.poly_id, r.name, r.layout, r.vendor, r.rotation, data, duration, rate, r.x0, r.x1, r.y0, r.y1, len(r.pts)))
-            yield pd.DataFrame(made, columns=[c.split()[0] for c in schema.split(", ")])
+            for i, r in enumerate(rows):
+                x, y, across = xs[offsets[i] : offsets[i + 1]], ys[offsets[i] : offsets[i + 1]], r["time_axis"] == "x"
+                time, value = (x, y) if across else (y, x)
+                per_second, per_mv, spacing = (r["spacing_x"] * MM_PER_S, r["spacing_y"] * MM_PER_MV, r["spacing_y"]) if across else (r["spacing_y"] * MM_PER_S, r["spacing_x"] * MM_PER_MV, r["spacing_x"])
+                base = baseline_of(value, list_of("pulses", i), list_of("h_major" if across else "v_major", i), list_of("h_lines" if across else "v_lines", i), spacing)
+                data, duration = samples_of(time, value, base, per_second, per_mv, r["inverted"])
+                made.append((data, duration, int(np.floor(len(data) / duration + 0.5)) if len(data) > 1 and duration > 0 else 0, len(x)))
+            data, duration, rate, n = zip(*made) if made else ([],) * 4
+            columns = [*(batch.column(c) for c in kept), pa.array(data, pa.list_(pa.float64())), pa.array(duration, pa.float64()), pa.array(rate, pa.int32()), *(batch.column(c) for c in box), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
-    needed = ["page_id", "poly_id", "name", "layout", "vendor", "rotation", "pts", "time_axis", "inverted", "x0", "x1", "y0", "y1", "spacing_x", "spacing_y", "h_lines", "v_lines", "h_major", "v_major", "pulses"]
-    return traces.select(*needed).mapInPandas(run, schema)
+    needed = [*kept, "pts", "time_axis", "inverted", *box, "spacing_x", "spacing_y", *lists]
+    return traces.select(*needed).mapInArrow(run, schema)
 
 
 def with_rhythm(channels: DataFrame, target: float = 10.0) -> DataFrame:
@@ -220,15 +230,30 @@ def with_rhythm(channels: DataFrame, target: float = 10.0) -> DataFrame:
     return usual.unionByName(drawn).unionByName(made.select(*usual.columns)).drop("n_points")
 
 
+def _found(ops: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(boxes, signal traces, grids) of drawings."""
+    boxes = settled(geometry.boxed(oriented(ops, pages)))
+    return boxes, settled(geometry.signal_traces(boxes, PAGE, "poly_id")), settled(grid(boxes))
+
+
+def _status(pages: DataFrame, traces: DataFrame, ruled: DataFrame) -> DataFrame:
+    seen, lined = traces.select("page_id").distinct().withColumn("_t", F.lit(True)), ruled.select("page_id").withColumn("_g", F.lit(True))
+    status = pages.select("page_id").join(seen, PAGE, "left").join(lined, PAGE, "left")
+    return status.select("page_id", F.when(F.col("_t").isNull(), "NO_TRACES").when(F.col("_g").isNull(), "GRID_NOT_DETECTED").otherwise("ok").alias("status"))
+
+
+def page_status(ops: DataFrame, pages: DataFrame) -> DataFrame:
+    """The status of pages as extract gives it, without their channels."""
+    return _status(pages, *_found(ops, pages)[1:])
+
+
 def extract(ops: DataFrame, pages: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(channels, page status) of drawings. ops: see sources.drawing; pages: page_id, width,
     height, viewport, producer, creator, author; texts: page_id, pos, text, x, y.
 
     Status: ok, NO_TRACES or GRID_NOT_DETECTED. Pages without operators have no traces.
     """
-    boxes = settled(geometry.boxed(oriented(ops, pages)))
-    traces = settled(geometry.signal_traces(boxes, PAGE, "poly_id"))
-    ruled = settled(grid(boxes))
+    boxes, traces, ruled = _found(ops, pages)
     arranged = settled(traces.join(layouts(traces), PAGE).join(ruled, PAGE))
     turn = boxes.groupBy("page_id").agg(F.max("rotation").alias("rotation"), F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
     found = drawing.labels(texts).join(turn, PAGE)
@@ -241,6 +266,4 @@ def extract(ops: DataFrame, pages: DataFrame, texts: DataFrame) -> tuple[DataFra
     per_mv = F.when(across, F.col("spacing_y")).otherwise(F.col("spacing_x")) * MM_PER_MV
     pulses = geometry.calibration_pulses(strokes, "_h", per_mv, F.col("pulse_tolerance"), F.col("inverted"), "_lo", "_hi").groupBy("page_id").agg(F.array_sort(F.collect_list("baseline")).alias("pulses"))
     channels = with_rhythm(settled(converted(settled(named(arranged, upright)).join(pulses, PAGE, "left"))))
-    seen, lined = traces.select("page_id").distinct().withColumn("_t", F.lit(True)), ruled.select("page_id").withColumn("_g", F.lit(True))
-    status = pages.select("page_id").join(seen, PAGE, "left").join(lined, PAGE, "left")
-    return channels, status.select("page_id", F.when(F.col("_t").isNull(), "NO_TRACES").when(F.col("_g").isNull(), "GRID_NOT_DETECTED").otherwise("ok").alias("status"))
+    return channels, _status(pages, traces, ruled)

@@ -9,6 +9,7 @@ from stripchart.functions.text import LEADS
 from stripchart.operators import geometry
 from stripchart.plans import extract, profiles
 from stripchart.queries.registry import query, table
+from stripchart.session import spread
 
 #: Pages are 1000 x 800 points, 4 points a millimetre; grid lines every 5 mm, samples every millimetre.
 #: Columns, rows, samples a trace, x of the first column, distance of columns, y of the first row, of rows.
@@ -20,7 +21,7 @@ def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
     its side, of seven one has no traces and one no grid. A trace rests on its line but for a peak
     and a dip in every sixteen samples."""
     shape = "element_at(map(" + ", ".join(f"{i}, array{SHAPES[n]}" for i, n in enumerate(SHAPES)) + "), cast(page_id % 3 as int))"
-    base = table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as bigint) as page_id").withColumn("s", F.expr(shape)).withColumn("turned", F.expr("page_id % 5 = 0"))
+    base = spread(table(spark, sf_dir, "supplier").selectExpr("cast(s_suppkey as bigint) as page_id"), "page_id").withColumn("s", F.expr(shape)).withColumn("turned", F.expr("page_id % 5 = 0"))
     point = lambda x, y: f"struct(cast({x} as double) as x, cast({y} as double) as y)"
     lines = (
         f"if(page_id % 7 = 5, array(), concat(transform(sequence(0, 50), i -> struct(0.6D as ink, array({point('20 * i', '0')}, {point('20 * i', '800')}) as pts)), "
@@ -50,7 +51,8 @@ _PAGES_SQL = "p as (select cast(s_suppkey as bigint) as page_id, ['stacked_12x1'
 @query(f"with {_PAGES_SQL} select page_id, case page_id % 7 when 3 then 'NO_TRACES' when 5 then 'GRID_NOT_DETECTED' else 'ok' end as status from p")
 def q_extract_status(spark, sf_dir):
     """What each drawing was found to be."""
-    return extract.extract(*drawn(spark, sf_dir))[1]
+    ops, pages, _ = drawn(spark, sf_dir)
+    return extract.page_status(ops, pages)
 
 
 @query(f"""with {_PAGES_SQL},
@@ -124,7 +126,7 @@ c as (select page_id, turn, good, count(*) as n, count(*) filter (k < good) as r
 select page_id, case when turn <> 0 and rising >= greatest(4, n / 2.0) then turn else 0 end as rotation from c""")
 def q_rotation_scores(spark, sf_dir):
     """How pages lie, by which way most of their long dark traces run; 3 to 7 of 8 run one way."""
-    page = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("bigint").alias("page_id"), F.expr("cast(array(0, 90, 180, 270)[cast(s_suppkey % 4 as int)] as int)").alias("turn"), (F.col("s_suppkey") % 5 + 3).alias("good"))
+    page = spread(table(spark, sf_dir, "supplier"), "s_suppkey").select(F.col("s_suppkey").cast("bigint").alias("page_id"), F.expr("cast(array(0, 90, 180, 270)[cast(s_suppkey % 4 as int)] as int)").alias("turn"), (F.col("s_suppkey") % 5 + 3).alias("good"))
     traces = page.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("poly_id"))
     # upright, x rises and y swings by 40; the others swing both ways
     x = "if(poly_id < good, 5D * i, 300D + 40D * (i % 2))"

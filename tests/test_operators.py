@@ -162,3 +162,18 @@ def test_stream_matches_batch(spark, tmp_path):
     files_query = streaming.append_batches(stream, lambda b: b.groupBy("user_id").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
     files_query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 500
+
+
+def test_polylines_of_many_parts(spark):
+    """Moves and rectangles within a path, a transform in the midst of one, unknown parts, nulls; pages come out
+    of one part of the table, and operators that few rows explode to are not gathered."""
+    path = ["moveTo", "lineTo", "moveTo", "lineTo", "curveTo2", "none", "rectangle", "lineTo", "lineTo", None]
+    numbers = [float(i) for i in range(2 + 2 + 2 + 2 + 4 + 4 + 2 + 2)]
+    each = [("constructPath", numbers, path), ("transform", [1.0, 0, 0, 1, 0, 5], None), ("lineTo", [7.0, 7], None), ("moveTo", [1.0, 1], ["moveTo"]), ("stroke", None, None)]
+    few = spark.createDataFrame([(k, [(i, o, a and [float(x) for x in a], sub) for i, (o, a, sub) in enumerate(each)]) for k in (1, 2)], "page_id long, o array<struct<op_pos:int, op:string, args:array<double>, sub_ops:array<string>>>")
+    made = drawing.polylines(few.select("page_id", F.inline("o")), spark.createDataFrame([(1, 100.0, 100.0, None), (2, 100.0, 100.0, [2.0, 0.0, 0.0, 1.0, 0.0, 0.0])], PAGES))
+    found = {(r["page_id"], r["poly_id"]): [tuple(p) for p in r["pts"]] for r in made.collect()}
+    # a rectangle drops what was begun; the transform moves the last point only
+    lines = [[(0, 1), (2, 3)], [(16, 17), (18, 19), (7, 12)]]
+    assert found == {(k, i): [(x * k, y) for x, y in line] for k in (1, 2) for i, line in enumerate(lines)}
+    assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
