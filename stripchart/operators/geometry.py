@@ -67,20 +67,24 @@ def calibration_pulses(polylines: DataFrame, height: str, points_per_mv, toleran
     return polylines.where(near).withColumn("baseline", F.when(inverted, F.col(high)).otherwise(F.col(low)))
 
 
-def rotation_candidates(polylines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The 30 longest dark polylines of at least 50 points, of pages with at least 4 of them."""
-    long = top_rows(polylines.where(is_dark(0.4) & (F.col("n") >= 50)), keys, [F.desc("n"), F.col(order)], 30)
-    return long.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_c >= 4").drop("_c")
+_STEPS = {"s0": "b.x - a.x", "s90": "a.y - b.y", "s180": "a.x - b.x", "s270": "b.y - a.y"}
 
 
-def rotation_scores(candidates: DataFrame, keys: list[str], pts: str = "pts") -> DataFrame:
-    """For each page the number of candidates whose x never falls by more than a point, as they
-    are (s0) and turned by 90, 180 and 270 degrees, and the rotation that wins. How far x moves
-    between two points does not depend on the page's size."""
-    steps = {"s0": "b.x - a.x", "s90": "a.y - b.y", "s180": "a.x - b.x", "s270": "b.y - a.y"}
+def rotation_candidates(polylines: DataFrame, keys: list[str], order: str, pts: str = "pts") -> DataFrame:
+    """The 30 longest dark polylines of at least 50 points, of pages with at least 4 of them: keys,
+    order, n, and whether x never falls by more than a point, as they are (s0) and turned by 90,
+    180 and 270 degrees. How far x moves between two points does not depend on the page's size.
+    Points stay where they are; only what is told of them is sorted."""
     pairs = lambda step: f"zip_with(slice({pts}, 1, greatest(size({pts}) - 1, 0)), slice({pts}, 2, greatest(size({pts}) - 1, 0)), (a, b) -> {step})"
-    rises = [F.count_if(F.expr(f"forall({pairs(step)}, d -> d >= -1)")).alias(n) for n, step in steps.items()]
-    scored = candidates.groupBy(*keys).agg(*rises, F.count(F.lit(1)).alias("n"))
+    rises = [F.expr(f"forall({pairs(step)}, d -> d >= -1)").alias(name) for name, step in _STEPS.items()]
+    told = polylines.where(is_dark(0.4) & (F.col("n") >= 50)).select(*keys, order, "n", *rises)
+    long = top_rows(told, keys, [F.desc("n"), F.col(order)], 30)
+    return long.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_c >= 4").drop("_c")
+
+
+def rotation_scores(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """For each page the number of candidates that rise each way, and the rotation that wins."""
+    scored = candidates.groupBy(*keys).agg(*(F.count_if(F.col(name)).alias(name) for name in _STEPS), F.count(F.lit(1)).alias("n"))
     good = lambda c: (F.col(c) >= F.greatest(F.lit(4.0), F.col("n") / 2)) & (F.col(c) > 1.5 * F.col("s0"))
     score = lambda c: F.when(good(c), F.col(c)).otherwise(-1)
     best = F.greatest(*(score(c) for c in ("s90", "s180", "s270")))

@@ -201,3 +201,11 @@ def test_stored_arrays_multiply_in_single_precision(spark, tmp_path):
     found = {r["vec_id"]: r["total"] for r in QUERIES["q_stored_arrays"](spark, str(tmp_path)).collect()}
     sql = duckdb.sql(f"with embeddings as (select * from '{tmp_path}/embeddings.parquet/*.parquet') select vec_id, total from ({ORACLE_SQL['q_stored_arrays']})")
     assert found == dict(sql.fetchall()) == {1: 303.0, 2: 351.0}
+
+
+def test_points_of_candidates_are_not_sorted(spark):
+    """What is told of polylines is shuffled and sorted, their points are not."""
+    lines = spark.range(4).select(F.lit(1).alias("page_id"), F.col("id").alias("poly_id"), F.expr("transform(sequence(0, 59), i -> struct(2D * i as x, 0D as y))").alias("pts"), *(F.lit(0.0).alias(c) for c in "rgb"), F.lit(60).alias("n"))
+    found = geometry.rotation_candidates(lines, ["page_id"], "poly_id")
+    assert "pts" not in found.columns and found.where("s0 and s180 = false").count() == 4
+    assert geometry.rotation_scores(found, ["page_id"]).first()["rotation"] == 0
