@@ -60,7 +60,8 @@ def parts_of(df: DataFrame, rows: int = SPREAD) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df, a table of short rows, dealt by keys into parts for what each row explodes to: files of
-    short rows are read by one task, which would make all of it."""
-    return df.repartition(parts_of(df), *keys)
+def spread(df: DataFrame, *keys: str, rows: int = SPREAD) -> DataFrame:
+    """df, a table of short rows, dealt by keys, or in turn, into parts of about so many rows, for
+    what each row explodes to or costs: files of short rows are read by one task, which would do all
+    of it."""
+    return df.repartition(parts_of(df, rows), *keys)

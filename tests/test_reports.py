@@ -209,3 +209,15 @@ def test_points_of_candidates_are_not_sorted(spark):
     found = geometry.rotation_candidates(lines, ["page_id"], "poly_id")
     assert "pts" not in found.columns and found.where("s0 and s180 = false").count() == 4
     assert geometry.rotation_scores(found, ["page_id"]).first()["rotation"] == 0
+
+
+@pytest.mark.parametrize("name", ["q_vector_operations", "q_inspected", "q_redact_documents", "q_stream_redact"])
+def test_short_rows_are_dealt_before_they_cost(spark, tmp_path, name):
+    """A file of short rows is read by one task; what its rows explode to or cost is made by several."""
+    from stripchart.catalogue import QUERIES
+
+    spark.range(8).selectExpr("id as s_suppkey", "id as c_custkey", "'a#' as c_name", "id as o_orderkey", "id % 3 as o_custkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    for other in ("customer", "orders"):
+        spark.read.parquet(f"{tmp_path}/supplier.parquet").coalesce(1).write.parquet(f"{tmp_path}/{other}.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.count() >= 7 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
