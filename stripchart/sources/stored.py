@@ -9,7 +9,6 @@ import io
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
@@ -20,28 +19,24 @@ from stripchart.session import ship
 _ENTRY = StructType([StructField("name", StringType()), StructField("dtype", StringType()), StructField("shape", ArrayType(IntegerType())), StructField("data", BinaryType())])
 
 
-@F.pandas_udf(BinaryType())
-def _packed(entries: pd.Series) -> pd.Series:
-    def one(rows) -> bytes | None:
-        if rows is None:
-            return None
-        target = io.BytesIO()
-        np.savez_compressed(target, **{r["name"]: np.frombuffer(r["data"], r["dtype"]).reshape(tuple(r["shape"])) for r in rows})
-        return target.getvalue()
+# Row by row, as are streams below: Spark then sends a hundred rows at a time, where Arrow batches
+# hold 10,000, however long.
+@F.udf(BinaryType(), useArrow=False)
+def _packed(entries: list | None) -> bytes | None:
+    if entries is None:
+        return None
+    target = io.BytesIO()
+    np.savez_compressed(target, **{r["name"]: np.frombuffer(r["data"], r["dtype"]).reshape(tuple(r["shape"])) for r in entries})
+    return target.getvalue()
 
-    return entries.map(one)
 
-
-@F.pandas_udf(StructType([StructField("entries", ArrayType(_ENTRY)), StructField("error", StringType())]))
-def _unpacked(contents: pd.Series) -> pd.DataFrame:
-    def one(content: bytes | None):
-        try:
-            with np.load(io.BytesIO(content or b""), allow_pickle=False) as archive:
-                return [{"name": k, "dtype": str(v.dtype), "shape": list(v.shape), "data": v.tobytes()} for k in archive.files for v in [archive[k]]], None
-        except Exception as wrong:  # any damage there may be: the archive is told apart, not the job stopped
-            return None, f"cannot be read: {type(wrong).__name__}"
-
-    return pd.DataFrame([one(c) for c in contents], columns=["entries", "error"])
+@F.udf(StructType([StructField("entries", ArrayType(_ENTRY)), StructField("error", StringType())]), useArrow=False)
+def _unpacked(content: bytes | None) -> tuple[list | None, str | None]:
+    try:
+        with np.load(io.BytesIO(content or b""), allow_pickle=False) as archive:
+            return [(k, str(v.dtype), list(v.shape), v.tobytes()) for k in archive.files for v in [archive[k]]], None
+    except Exception as wrong:  # any damage there may be: the archive is told apart, not the job stopped
+        return None, f"cannot be read: {type(wrong).__name__}"
 
 
 def packed(entries: str) -> Column:
@@ -75,20 +70,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("u", unpacked("content")).select("path", "u.entries", "u.error")
 
 
-@F.pandas_udf(BinaryType())
-def _deflated(contents: pd.Series) -> pd.Series:
-    return contents.map(lambda c: None if c is None else zlib.compress(c))
-
+@F.udf(BinaryType(), useArrow=False)
+def _deflated(content: bytes | None) -> bytes | None:
+    return None if content is None else zlib.compress(content)
 
-@F.pandas_udf(BinaryType())
-def _inflated(contents: pd.Series) -> pd.Series:
-    def one(content: bytes | None) -> bytes | None:
-        try:
-            return None if content is None else zlib.decompress(content)
-        except zlib.error:
-            return None
 
-    return contents.map(one)
+@F.udf(BinaryType(), useArrow=False)
+def _inflated(content: bytes | None) -> bytes | None:
+    try:
+        return None if content is None else zlib.decompress(content)
+    except zlib.error:
+        return None
 
 
 def deflated(content: Column) -> Column:

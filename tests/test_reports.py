@@ -1,5 +1,7 @@
 """Verification, checks, exports and streams on small literal frames: odd and damaged input."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,47 @@ def test_archives(spark, tmp_path):
     assert found["b"]["entries"] is None and "cannot be read" in found["b"]["error"]
 
 
+def test_streams_and_archives_of_nothing(spark):
+    frame = spark.createDataFrame([(0, None), (1, b""), (2, b"abc")], "k int, b binary").withColumn("z", stored.deflated(F.col("b")))
+    read = frame.select("k", stored.inflated(F.col("z")).alias("b"), stored.inflated(F.expr("substr(z, 1, length(z) - 3)")).alias("cut"))
+    assert [tuple(r) for r in read.orderBy("k").collect()] == [(0, None, None), (1, b"", None), (2, b"abc", None)]
+    none = spark.range(1).select(F.expr("cast(null as array<struct<name: string, dtype: string, shape: array<int>, data: binary>>)").alias("e"))
+    read = none.select(stored.packed("e").alias("c")).select("c", stored.unpacked("c").alias("u")).first()
+    assert read["c"] is None and read["u"]["entries"] is None and "cannot be read" in read["u"]["error"]
+
+
+def test_long_streams_are_not_held_together(spark):
+    """2,000 texts of 100 KB in one task: 200 MB, of which a worker holds few at a time."""
+    psutil = pytest.importorskip("psutil")
+    done, peak = threading.Event(), 0
+
+    def workers():
+        for p in psutil.Process().children(recursive=True):
+            try:
+                if "pyspark" in " ".join(p.cmdline()) and "python" in p.name():
+                    yield p.pid, p.memory_info().rss
+            except psutil.Error:
+                pass
+
+    before = dict(workers())
+
+    def watch():
+        nonlocal peak
+        while not done.wait(0.02):
+            peak = max([peak, *(rss - before.get(pid, 0) for pid, rss in workers())])
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        made = spark.range(0, 2000, 1, 1).select(stored.deflated(F.encode(F.repeat(F.lit("x"), 100_000), "UTF-8")).alias("z"))
+        whole = made.select(stored.inflated(F.expr("substr(z, 1)")).alias("t")).agg(F.sum(F.octet_length("t"))).first()[0]
+    finally:
+        done.set()
+        watcher.join()
+    assert whole == 200_000_000
+    assert 0 < peak < 300 * 2**20
+
+
 def test_files(spark, tmp_path):
     for name, data in (("a.b.pdf", b"%PDF-1.4"), ("c.xml", b"\xef\xbb\xbf <?xml"), ("d", b"\0")):
         (tmp_path / name).write_bytes(data)
