@@ -97,6 +97,21 @@ def test_links_against_all_pairs(spark, leaves):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_joined_labels():
+    """Against sets united pair by pair; labels may stand for sets already."""
+    rng = random.Random(9)
+    for n, m in ((1, 0), (2, 1), (40, 25), (300, 280), (300, 2000)):
+        label, sets = np.arange(n), {k: {k} for k in range(n)}
+        for _ in range(2):
+            pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+            label = simhash.joined_labels(label, *np.array(pairs, np.int64).reshape(-1, 2).T)
+            for a, b in pairs:
+                both = sets[a] | sets[b]
+                for k in both:
+                    sets[k] = both
+            assert label.tolist() == [min(sets[k]) for k in range(n)]
+
+
 # 3 ---------------------------------------------------------------------------------------------
 def test_archive(spark, monkeypatch):
     long, other = "<html>" + "x" * 200, "é" * 90

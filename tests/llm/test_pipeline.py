@@ -128,3 +128,32 @@ def test_shared_paragraphs_are_not_compared(spark):
     assert (200, 7) in {(r["row"], r["center"]) for r in pairs}
     assert len(pairs) < 200 * 200 // 100
     assert {(r["a"], r["b"]) for r in overlap.links(texts, rounds=0).collect()} == {(200, 7)}
+
+
+def test_rounds_link_copies_before_pairs_are_made(spark):
+    """120 copies with a word or two replaced: nearly all pass the filters in pairs at first; a round
+    makes them few components by links that stand, and few pairs are left."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    found = []
+    for _ in range(120):
+        copy = list(words)
+        for _ in range(rng.randint(1, 2)):
+            copy[rng.randrange(200)] = f"x{rng.randrange(5000)}"
+        found.append(" ".join(copy))
+    texts = spark.createDataFrame(list(enumerate(found)), "row long, text string")
+    heads = overlap.stored(overlap.prefixes(texts), "heads")
+    first = heads.where("place <= n div 5")
+    entries = overlap._rooted(first, None)
+    assert overlap.candidates(entries, heads).count() > 120 * 119 // 4
+    met = overlap.compared(overlap.stored(overlap.chosen(entries), "chosen"), texts)
+    sets = [plain_runs(t) for t in found]
+    label = list(range(120))
+    for r in met.collect():
+        label = [label[r["b"]] if x == label[r["a"]] else x for x in label]
+    center = {r["center"] for r in overlap.chosen(entries).collect()}
+    for r in overlap.chosen(entries).collect():
+        a, b = sets[r["row"]], sets[r["center"]]
+        assert label[r["row"]] == label[r["center"]] or 9 * len(a & b) < 4 * (len(a) + len(b))
+    assert center and len(set(label)) < 12
+    assert overlap.candidates(overlap._rooted(first, overlap.connected(met)), heads).count() < 120
