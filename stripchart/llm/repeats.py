@@ -13,11 +13,13 @@ two shuffles, of which no row grows with the number of copies:
    the common prefixes of neighbouring suffixes by increasing value and stops at `length`; what is
    not set then separates nothing, so the suffixes between set places begin with equal windows.
    The part answers with a bit a window: whether a smaller id than the slice's own least holds it.
+   It goes through its stretches mark by mark, some at once; what shares one mark and is large is
+   cut by the marks of longer strings first, so that what is transformed at once stays small.
 3. Within a slice a window goes if that bit is set, or the slice's least id for it is smaller.
 
 Exact copies of whole texts are taken out before and lose everything to the smallest id. A mark
-that very many slices share is not dealt as stretches but window by window, by their own hashes,
-so that the texts around one very frequent passage do not meet in one part.
+of very many stretches is not dealt as stretches but window by window, by their own hashes, so
+that the texts around one very frequent passage do not meet in one part.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ MARK, STRETCH = 16, 64
 SLICE, BLOCK = 2_000_000, 1 << 15
 #: Bytes of text whose distinct marks or stretches meet in one part, about; of text transformed at once.
 PART, TRANSFORMED = 64_000_000, 500_000
-#: Slices that share a mark, from which its windows are dealt one by one.
-FREQUENT = 20_000
+#: Bytes of stretches that a part opens at once, and stretches whose first windows are hashed at once.
+OPENED, HASHED = 2_000_000, 1 << 12
+#: Stretches, distinct in each slice, that share a mark, from which its windows are dealt one by one.
+FREQUENT = 200_000
 #: Bytes of answers up to which they are sent to all tasks; beyond, slices are shuffled to them.
 SENT = 32_000_000
 #: Stands for a null id: larger than all others, and no smaller than itself.
@@ -84,11 +88,12 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - step)], h[width - step :]) if step < width else h
 
 
-def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, most: int = STRETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, most: int = STRETCH, size: int = MARK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(mark, document, start, windows) of all stretches of at most `most` neighbouring windows
-    of a document with one mark. `ends` are the ends of the documents in data."""
+    of a document with one mark, of strings of `size` bytes. `ends` are the ends of the documents
+    in data."""
     found = []
-    mark_size = min(MARK, length)
+    mark_size = min(size, length)
     for at in range(0, len(data) - length + 1, BLOCK):
         block = data[at : at + BLOCK + length - 1]
         mark = _least(_hashes(block, mark_size), length - mark_size + 1)
@@ -114,6 +119,31 @@ def _pieces(starts: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarra
     return np.repeat(starts, n) + inner * most, np.minimum(most, np.repeat(sizes, n) - inner * most)
 
 
+def _first_marks(text: np.ndarray, starts: np.ndarray, length: int, size: int) -> np.ndarray:
+    """The mark of the window at each of the starts."""
+    size = min(size, length)
+    found = [np.zeros(0, np.uint64)]
+    for i in range(0, len(starts), HASHED):
+        windows = np.lib.stride_tricks.sliding_window_view(text, length)[starts[i : i + HASHED]]
+        found.append(_least(_hashes(windows.ravel(), size), length - size + 1)[::length])
+    return np.concatenate(found)
+
+
+def _each(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each of starts on, as many as sizes say."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _batches(marks: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of things in the order of their marks: whole marks, of about `most` bytes together."""
+    total, at = np.cumsum(sizes), 0
+    while at < len(marks):
+        to = int(np.searchsorted(total, (total[at - 1] if at else 0) + most))
+        to = int(np.searchsorted(marks, marks[max(to, at + 1) - 1], side="right"))
+        yield slice(at, to)
+        at = to
+
+
 def _suffixes(text: np.ndarray, length: int) -> np.ndarray:
     """The rotations of text in the order of their first `length` bytes at least."""
     n = len(text)
@@ -243,10 +273,13 @@ def _joined_data(batch: pa.RecordBatch, name: str, i: int) -> bytes:
 
 
 ROWS = "slice long, part int, data binary"
+#: With the number of marks or stretches in data.
+DEALT = ROWS + ", n long"
 
 
-def _row(number: int, part: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["slice", "part", "data"])
+def _row(number: int, part: int, data: bytes, n: int) -> pa.RecordBatch:
+    columns = [pa.array([x], k) for x, k in zip((number, part, data, n), (pa.int64(), pa.int32(), pa.binary(), pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["slice", "part", "data", "n"])
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -256,34 +289,42 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 
 def shared_marks(slices: DataFrame, parts: int, length: int, frequent: int) -> DataFrame:
     """slice, part, data: two bits for each distinct mark that the slice has of the part, in
-    order: whether several documents hold it, and whether more than `frequent` slices do."""
+    order: whether several documents hold it, and whether it has more than `frequent` stretches."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, number in enumerate(batch.column("slice").to_pylist()):
                 ids, ends, data = _opened(batch, i)
-                mark, document, _, _ = stretches(data, ends, length)
+                mark, document, start, windows = stretches(data, ends, length)
                 keys, part, inverse = _marks(mark, parts)
                 low, high = np.full(len(keys), LAST), np.full(len(keys), np.iinfo(np.int64).min)
                 np.minimum.at(low, inverse, ids[document])
                 np.maximum.at(high, inverse, ids[document])
+                held = np.bincount(inverse, minlength=len(keys))
+                some = np.flatnonzero(held[inverse] > 2)
+                content = data.tobytes()
+                distinct = {content[s : s + w + length - 1]: k for k, s, w in zip(*(x[some].tolist() for x in (inverse, start, windows)))}
+                held = np.where(held > 2, np.bincount(list(distinct.values()) or [0], minlength=len(keys)), held)
+                held = np.minimum(held, 65_535).astype("<u2")
                 for p, at in _each_part(part):
-                    yield _row(number, p, (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + np.packbits(low[at] < high[at]).tobytes())
+                    bits = np.packbits(low[at] < high[at]).tobytes()
+                    yield _row(number, p, (keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + bits + zlib.compress(held[at].tobytes(), 1), at.stop - at.start)
 
     def count(group: pa.Table) -> pa.Table:
-        rows = list(zip(*(group[n].to_pylist() for n in ("slice", "part", "data"))))
-        # 4 bytes a mark, and a bit for each eighth of a byte
-        sizes = [8 * len(d) // 33 for *_, d in rows]
-        keys = np.concatenate([np.frombuffer(d, "<u4", n) for (*_, d), n in zip(rows, sizes)])
-        own = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, offset=4 * n))[:n] for (*_, d), n in zip(rows, sizes)])
+        rows = list(zip(*(group[n].to_pylist() for n in ("slice", "part", "data", "n"))))
+        # 4 bytes a mark, a bit for each, then the stretches of each
+        keys = np.concatenate([np.frombuffer(d, "<u4", n) for *_, d, n in rows])
+        own = np.concatenate([np.unpackbits(np.frombuffer(d, np.uint8, -(-n // 8), 4 * n))[:n] for *_, d, n in rows])
+        held = np.concatenate([np.frombuffer(zlib.decompress(d[4 * n - (-n // 8) :]), "<u2") for *_, d, n in rows])
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         many = np.bincount(inverse, own, len(counts)) > 0
-        code = np.stack([((counts > 1) | many)[inverse], (counts > frequent)[inverse]], axis=1)
-        ends = np.cumsum(sizes)
-        return _rows([(s, p, np.packbits(code[e - n : e]).tobytes()) for (s, p, _), n, e in zip(rows, sizes, ends)])
+        often = np.bincount(inverse, held, len(counts)) > frequent
+        code = np.stack([((counts > 1) | many)[inverse], often[inverse]], axis=1)
+        ends = np.cumsum([n for *_, n in rows])
+        return _rows([(s, p, np.packbits(code[e - n : e]).tobytes()) for (s, p, _, n), e in zip(rows, ends)])
 
     ship(slices.sparkSession)
-    return over_partitions(slices, read, ROWS).groupBy("part").applyInArrow(count, ROWS)
+    return over_partitions(slices, read, DEALT).groupBy("part").applyInArrow(count, ROWS)
 
 
 def _dealt(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, answer: list[dict], parts: int, length: int):
@@ -330,45 +371,54 @@ def smaller_elsewhere(slices: DataFrame, shared: DataFrame, parts: int, length:
                 _, (part, start, windows, least) = _dealt(ids, ends, data, batch.column("shared")[i].as_py(), parts, length)
                 for p, at in _each_part(part):
                     text = b"".join(data[s : s + w + length - 1].tobytes() for s, w in zip(start[at], windows[at]))
-                    yield _row(number, p, np.array([at.stop - at.start], "<i8").tobytes() + windows[at].astype("<i8").tobytes() + least[at].astype("<i8").tobytes() + text)
+                    yield _row(number, p, least[at].astype("<i8").tobytes() + windows[at].astype(np.uint8).tobytes() + text, at.stop - at.start)
 
     def judge(group: pa.Table) -> pa.Table:
-        which: dict[bytes, int] = {}
-        rows, at, least, windows = [], [], [], []
-        for number, part, data in zip(*(group[n].to_pylist() for n in ("slice", "part", "data"))):
-            n = int(np.frombuffer(data, "<i8", 1)[0])
-            sizes, low = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
-            starts = 8 + 16 * n + np.r_[0, np.cumsum(sizes + length - 1)]
-            at += [which.setdefault(data[a:b], len(which)) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-            least.append(low)
-            windows.append(sizes)
-            rows.append((number, part, n))
-        at, low, sizes = np.array(at), np.concatenate(least), np.concatenate(windows)
-        own = np.full(len(which), LAST)
-        np.minimum.at(own, at, low)
-        smaller = _smallest(list(which), own, length)  # of each distinct stretch, for each window
-        count = np.array([len(w) for w in which]) - length + 1
-        starts = np.cumsum(count) - count
-        index = np.repeat(starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        inner = np.arange(len(index)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        bits = (smaller[index] < np.repeat(low, sizes)).astype(np.uint64) << inner.astype(np.uint64)
-        masks = np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes).astype("<u8")
-        ends = np.cumsum([n for *_, n in rows])
-        return _rows([(s, p, zlib.compress(masks[e - n : e].tobytes(), 1)) for (s, p, n), e in zip(rows, ends)])
+        texts, of, starts, least, windows, marks = [], [], [], [], [], []
+        for batch in group.to_batches():  # read where Arrow holds them
+            data = batch.column("data")
+            at = np.frombuffer(data.buffers()[1], "<i8" if pa.types.is_large_binary(data.type) else "<i4")[data.offset :].tolist()
+            text = np.frombuffer(data.buffers()[2], np.uint8)
+            begun = []
+            for a, n in zip(at, batch.column("n").to_pylist()):
+                least.append(np.frombuffer(text, "<i8", n, a))
+                windows.append(np.frombuffer(text, np.uint8, n, a + 8 * n))
+                begun.append(a + 9 * n + np.r_[0, np.cumsum(windows[-1][:-1].astype(np.int64) + length - 1)])
+            starts += begun
+            of.append(np.full(sum(map(len, begun)), len(texts), np.uint16))
+            marks += [_first_marks(text, np.concatenate(begun), length, MARK)]
+            texts.append(memoryview(text))
+        of, starts, least, windows, marks = map(np.concatenate, (of, starts, least, windows, marks))
+        masks = np.empty(len(marks), "<u8")
+        order = np.argsort(marks, kind="stable")
+        for some in _batches(marks[order], windows[order].astype(np.int64) + length - 1, OPENED):
+            rows = order[some]
+            which: dict[bytes, int] = {}
+            sizes, low = windows[rows].astype(np.int64), least[rows]
+            at = np.array([which.setdefault(bytes(texts[t][s : s + w + length - 1]), len(which)) for t, s, w in zip(of[rows].tolist(), starts[rows].tolist(), sizes.tolist())])
+            own = np.full(len(which), LAST)
+            np.minimum.at(own, at, low)
+            smaller = _smallest(list(which), own, length)  # of each distinct stretch, for each window
+            count = np.array([len(w) for w in which]) - length + 1
+            bits = smaller[_each((np.cumsum(count) - count)[at], sizes)] < np.repeat(low, sizes)
+            bits = bits.astype(np.uint64) << _each(np.zeros(len(sizes), np.int64), sizes).astype(np.uint64)
+            masks[rows] = np.bitwise_or.reduceat(bits, np.cumsum(sizes) - sizes)
+        sizes = group["n"].to_pylist()
+        ends = np.cumsum(sizes)
+        return _rows([(s, p, zlib.compress(masks[e - n : e].tobytes(), 1)) for s, p, n, e in zip(group["slice"].to_pylist(), group["part"].to_pylist(), sizes, ends)])
 
     ship(slices.sparkSession)
-    return over_partitions(slices.join(shared, "slice"), read, ROWS).groupBy("part").applyInArrow(judge, ROWS)
+    return over_partitions(slices.join(shared, "slice"), read, DEALT).groupBy("part").applyInArrow(judge, ROWS)
 
 
-def _smallest(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray:
+def _smallest(pieces: list[bytes], least: np.ndarray, length: int, size: int = MARK) -> np.ndarray:
     """The least id for each window of each of the pieces, in order. Pieces are transformed in
     batches; those with a mark in common are in one. A piece alone with its mark has no window in
-    common with any other."""
-    size = min(MARK, length)
-    firsts = np.frombuffer(b"".join(p[:length] for p in pieces), np.uint8)
-    marks = _least(_hashes(firsts, size), length - size + 1)[::length]
-    order = np.argsort(marks, kind="stable")
+    common with any other. Where pieces with one mark are too many for a batch, their stretches by
+    marks of longer strings, at last of whole windows, are the pieces."""
     sizes = np.array([len(p) for p in pieces])
+    marks = _first_marks(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes, length, size)
+    order = np.argsort(marks, kind="stable")
     count = sizes - length + 1
     starts = np.cumsum(count) - count
     out = np.repeat(least, count)
@@ -376,22 +426,27 @@ def _smallest(pieces: list[bytes], least: np.ndarray, length: int) -> np.ndarray
     more = np.r_[False, marks[1:] == marks[:-1]]
     more |= np.r_[more[1:], False]
     order, marks = order[more], marks[more]
-    total = np.cumsum(sizes[order])
-    at = 0
-    while at < len(order):
-        to = int(np.searchsorted(total, (total[at - 1] if at else 0) + TRANSFORMED))
-        to = max(to, at + 1)
-        to = int(np.searchsorted(marks, marks[to - 1], side="right"))  # whole marks
-        rows = order[at:to]
+    for some in _batches(marks, sizes[order], TRANSFORMED):
+        rows = order[some]
         text = np.frombuffer(b"".join(pieces[r] for r in rows), np.uint8)
-        n, size = count[rows], sizes[rows]
-        of = np.repeat(np.arange(len(rows)), n)
-        inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        label = window_classes(text, length)[(np.cumsum(size) - size)[of] + inner]
-        low = np.full(label.max() + 1, LAST)
-        np.minimum.at(low, label, least[rows][of])
-        out[starts[rows][of] + inner] = low[label]
-        at = to
+        ends = np.cumsum(sizes[rows])
+        begins = ends - sizes[rows]
+        if len(text) > 2 * TRANSFORMED and size < length:
+            _, piece, start, windows = stretches(text, ends, length, size=2 * size)
+            which: dict[bytes, int] = {}
+            content = text.tobytes()
+            at = np.array([which.setdefault(content[s : s + w + length - 1], len(which)) for s, w in zip(start.tolist(), windows.tolist())])
+            own = np.full(len(which), LAST)
+            np.minimum.at(own, at, least[rows][piece])
+            low = _smallest(list(which), own, length, min(2 * size, length))
+            n = np.array([len(w) for w in which]) - length + 1
+            out[_each(starts[rows][piece] + start - begins[piece], windows)] = low[_each((np.cumsum(n) - n)[at], windows)]
+        else:
+            n = count[rows]
+            label = window_classes(text, length)[_each(begins, n)]
+            low = np.full(label.max() + 1, LAST)
+            np.minimum.at(low, label, np.repeat(least[rows], n))
+            out[_each(starts[rows], n)] = low[label]
     return out
 
 

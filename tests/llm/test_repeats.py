@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -86,3 +87,44 @@ def test_registered(spark, tmp_path, rows):
     found = repeats.op11_interval_expansion(spark, f"{tmp_path}/full")
     assert sorted(map(tuple, found.collect()), key=repr) == plain(rows, 50)
     assert repeats.op11_interval_expansion(spark, f"{tmp_path}/none").collect() == []
+
+
+@pytest.mark.parametrize("length", [7, 50])
+def test_what_is_transformed_at_once_is_bounded(length, monkeypatch):
+    """Many stretches round one string, so with one mark, are cut before they are transformed."""
+    rng = random.Random(5)
+    middle = "".join(rng.choices("abcdefgh", k=min(16, length)))
+    side = lambda: "".join(rng.choices("ab" if length == 7 else "abcdefgh", k=length - len(middle)))
+    pieces = list({(side() + middle + side()).encode()[: 64 + length - 1] for _ in range(2000)})
+    least = np.array(rng.choices(range(500), k=len(pieces)))
+    wanted: dict[bytes, int] = {}
+    windows = [(p[i : i + length], x) for p, x in zip(pieces, least.tolist()) for i in range(len(p) - length + 1)]
+    for w, x in windows:
+        wanted[w] = min(wanted.get(w, x), x)
+    seen, classes = [], repeats.window_classes
+    monkeypatch.setattr(repeats, "TRANSFORMED", 1000)
+    monkeypatch.setattr(repeats, "_least", lambda h, width, f=repeats._least: f(h, width) if width < 20 else f(h, width) & np.uint64(1))  # few marks at first
+    monkeypatch.setattr(repeats, "window_classes", lambda text, n: seen.append(len(text)) or classes(text, n))
+    assert repeats._smallest(pieces, least, length).tolist() == [wanted[w] for w, _ in windows]
+    assert max(seen, default=0) <= 12_000
+
+
+def test_memory_for_many_stretches():
+    rng = np.random.default_rng(6)
+    pieces = [bytes(x) for x in rng.integers(97, 123, (60_000, 67)).astype(np.uint8)]
+    tracemalloc.start()
+    try:
+        repeats._smallest(pieces, np.arange(len(pieces)), 50)
+        assert tracemalloc.get_traced_memory()[1] < 80_000_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_frequent_marks_count_their_stretches(spark):
+    """One string in many contexts of two documents is frequent, however few the slices."""
+    rng = random.Random(7)
+    texts = ["".join("".join(rng.choices("abcdefgh", k=40)) + "0123456789ABCDEF" for _ in range(900)) for _ in range(2)]
+    slices = repeats._slices(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), 10)
+    for frequent, often in ((20, True), (20_000, False)):
+        rows = repeats.shared_marks(slices, 1, 50, frequent).collect()
+        assert any(np.unpackbits(np.frombuffer(r.data, np.uint8))[1::2].any() for r in rows) == often
